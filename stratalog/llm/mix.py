@@ -3,7 +3,8 @@
 The documents of a source are packed end to end into blocks of a fixed number of
 tokens. The mix is a sequence of slots, one per block, divided into output
 shards. Each shard draws how many of its slots go to each source from a
-multinomial; the running number of a slot within its source then goes through a
+multinomial, and what the draws miss of the planned numbers is moved between
+sources afterwards; the running number of a slot within its source then goes through a
 pseudorandom permutation of that source's block numbers, a fresh one for each
 round through the source, and slots meet blocks by a join on the number. No
 block is drawn more often than max_repeats, so no token and no document is.
@@ -63,7 +64,7 @@ def packed(scratch: Scratch, sized: DataFrame, block_tokens: int) -> DataFrame:
 
 
 def plan(targets: list[dict]) -> list[dict]:
-    """Adds to each row of one mix its number of slots: shares of the whole, never above the cap."""
+    """Adds to each row of one mix its wanted number of slots: shares of the whole, never above the cap."""
     size = sum(t["blocks"] for t in targets)
     open_ = [t for t in targets if t["blocks"] and t["target_share"] > 0]
     for t in targets:
@@ -81,6 +82,11 @@ def plan(targets: list[dict]) -> list[dict]:
             t["slots"] = float(t["cap"])
             left -= t["cap"]
         open_ = [t for t in open_ if t not in full]
+    for t in targets:
+        t["want"] = int(t["slots"] + 1e-9)
+    missing = round(sum(t["slots"] for t in targets)) - sum(t["want"] for t in targets)
+    for t in sorted(targets, key=lambda t: t["want"] - t["slots"])[: max(0, missing)]:
+        t["want"] += 1
     return targets
 
 
@@ -135,10 +141,10 @@ def draw(spark, sf_dir: str, block_tokens: int = BLOCK_TOKENS, shard_blocks: int
     # how many slots of each shard go to each source
     shards = None
     for m, t in plans.items():
-        total = int(round(sum(x["slots"] for x in t)))
+        total = sum(x["want"] for x in t)
         if not total:
             continue
-        names, p = [x["source"] for x in t], np.array([x["slots"] for x in t], float)
+        names, p = [x["source"] for x in t], np.array([x["want"] for x in t], float)
 
         def run(frames, m=m, names=names, p=p / p.sum(), total=total):
             for f in frames:
@@ -155,15 +161,15 @@ def draw(spark, sf_dir: str, block_tokens: int = BLOCK_TOKENS, shard_blocks: int
     shards = s.keep(shards, "shards")
     drawn = {(r["mix"], r["source"]): r["n"] for r in shards.groupBy("mix", "source").agg(F.sum("n").alias("n")).collect()}
 
-    # draws above a cap move to the sources that have room
+    # draws above the wanted number move to the sources that fell short of theirs
     moves, sizes = [("", "", 0, 0, "", 0)], []
     for m, t in plans.items():
         room = sorted(t, key=lambda x: -(x["slots"]))
-        free = {x["source"]: x["cap"] - drawn.get((m, x["source"]), 0) for x in t}
+        free = {x["source"]: x["want"] - drawn.get((m, x["source"]), 0) for x in t}
         end = {x["source"]: drawn.get((m, x["source"]), 0) for x in t}
         for x in t:
             sizes += [(m, x["source"], x["blocks"], _seed(seed, m, x["source"]))]
-            i, over = x["cap"], -free[x["source"]]
+            i, over = x["want"], -free[x["source"]]
             while over > 0:
                 to = next((y["source"] for y in room if free[y["source"]] > 0), None)
                 if to is None:
@@ -175,7 +181,7 @@ def draw(spark, sf_dir: str, block_tokens: int = BLOCK_TOKENS, shard_blocks: int
                 end[to] += k
     moves = F.broadcast(spark.createDataFrame(moves, "mix string, source string, i_from long, i_to long, to string, j_from long"))
     sizes = F.broadcast(spark.createDataFrame(sizes, "mix string, source string, blocks long, key long"))
-    caps = F.broadcast(spark.createDataFrame([(m, x["source"], x["cap"]) for m, t in plans.items() for x in t], "mix string, source string, cap long"))
+    caps = F.broadcast(spark.createDataFrame([(m, x["source"], x["want"]) for m, t in plans.items() for x in t], "mix string, source string, cap long"))
 
     w = Window.partitionBy("mix", "source").orderBy("shard")
     slots = shards.withColumn("start", F.sum("n").over(w) - F.col("n")).filter("n > 0")
