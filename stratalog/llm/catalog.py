@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import docpairs, mix, split, tokenize
+from stratalog.llm import docpairs, mix, residue, split, tokenize
 
 SQL = {
     "p1_found": r"""select distinct 'node' as tbl, id as item_id from node
@@ -22,6 +22,9 @@ def queries() -> dict:
         "p8_lengths": tokenize.p8_lengths,
         "p9_mix": mix.p9_mix,
         "p9_shares": mix.p9_shares,
+        "p10_found": residue.p10_found,
+        "p10_clean": residue.p10_clean,
+        "p10_reasons": residue.p10_reasons,
     }
 
 
