@@ -128,7 +128,9 @@ def draw(spark, sf_dir: str, block_tokens: int = BLOCK_TOKENS, shard_blocks: int
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
     docs = load(spark, sf_dir, "documents").join(targets.select("source").distinct(), "source", "left_semi")
-    blocks = s.keep(packed(s, count_tokens(docs, ["doc_id", "source"], path=path), block_tokens), "blocks")
+    # written first: placing rows by range reads its input twice
+    sized = s.keep(count_tokens(docs, ["doc_id", "source"], path=path), "sized")
+    blocks = s.keep(packed(s, sized, block_tokens), "blocks")
     have = blocks.groupBy("source").agg((F.max("block") + 1).alias("blocks"))
     rows = [r.asDict() for r in targets.join(have, "source", "left").limit(MAX_TARGETS + 1).collect()]
     if len(rows) > MAX_TARGETS:
