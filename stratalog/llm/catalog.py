@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import docpairs, mix, residue, split, tokenize
+from stratalog.llm import alike, docpairs, mix, residue, split, tokenize
 
 SQL = {
     "p1_found": r"""select distinct 'node' as tbl, id as item_id from node
@@ -18,6 +18,8 @@ def queries() -> dict:
         "p1_pieces": split.p1_pieces,
         "p4_found": docpairs.p4_found,
         "p4_pairs": docpairs.p4_pairs,
+        "p7_found": alike.p7_found,
+        "p7_groups": alike.p7_groups,
         "p8_ids": tokenize.p8_ids,
         "p8_lengths": tokenize.p8_lengths,
         "p9_mix": mix.p9_mix,
