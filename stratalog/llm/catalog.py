@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import alike, docpairs, mix, residue, split, tokenize
+from stratalog.llm import alike, docpairs, mix, neighbours, residue, split, tokenize
 
 SQL = {
     "p1_found": r"""select distinct 'node' as tbl, id as item_id from node
@@ -16,6 +16,8 @@ def queries() -> dict:
     return {
         "p1_found": split.p1_found,
         "p1_pieces": split.p1_pieces,
+        "p3_found": neighbours.p3_found,
+        "p3_similar": neighbours.p3_similar,
         "p4_found": docpairs.p4_found,
         "p4_pairs": docpairs.p4_pairs,
         "p7_found": alike.p7_found,
