@@ -1,11 +1,11 @@
 """Near-duplicate records with small edits.
 
-Two records are alike when their words in common are at least ``share`` of the
+Two records are alike when their words in common are at least four fifths of the
 words of the smaller one; records tied together by likeness form a group. The
 join is exact.
 
 Prefix-tree join. The words of a record are ordered from the rarest to the most
-frequent. A record of n words may miss m = n - ceil(share * n) of them, so of its
+frequent. A record of n words may miss m = n - ceil(0.8 n) of them, so of its
 first m + k words at least k are in any record alike. These prefixes form a
 path-compressed tree; records with the same rare words share its upper edges.
 The tree is walked depth first with all partners at a time: a node holds the
@@ -16,16 +16,17 @@ the words met. What is left at a leaf is compared in full: rare words through
 their postings, frequent ones through bit rows.
 
 Records of the same words are one class and take part once, so a group of exact
-copies, however large, costs one row. Classes are split into parts by id; each
-part's tree is walked against all classes, which a part receives as words coded
-in four bytes. The number of parts follows the number of words, so that a part's
-memory is bounded (``PART_WORDS``); what is moved grows with words times parts.
-
-The order of the words comes from counts over all records, in 2^20 buckets of
-word hashes: a table of fixed size. Codes are 32 bit, bucket rank and twelve
-more bits of the hash. An unlucky order or a shared bucket makes the walk longer,
-never the result smaller; two words of one code (about one pair in 2^32) could
-add a false word in common.
+copies, however large, costs one row. Classes are laid out in a grid by id: a
+cell holds the tree of one part and the postings of another. The sides of the
+grid follow the number of words, so that a cell's memory is bounded
+(``TREE_WORDS``, ``POSTING_WORDS``); a class goes to one row and one column of
+the grid, so what is moved grows with the words times the sum of the sides.
+
+The order of the words comes from counts over all records, in 2^22 buckets of
+word hashes: a table of fixed size. A word's code is the rank of its bucket and
+whether it is the bucket's first word. An unlucky order makes the walk longer,
+never the result smaller. Two words share a code if they are the second and
+third of one bucket; a record could then seem to share a word too many.
 
 Defined cases: null or blank bodies, other kinds and records of fewer than
 ``least`` words take no part; a null title counts as empty; repeated ids count
@@ -47,16 +48,19 @@ from stratalog.session import Scratch
 from stratalog.tables import load
 
 KINDS = ("memory", "chunk", "annotation")
-SHARE, LEAST = 0.8, 10
+#: The share of the smaller record's words, as a fraction of whole numbers.
+SHARE_OF, LEAST = (4, 5), 10
 #: Words of the prefix that must be met beyond the misses allowed.
 MET = 4
-BUCKET_BITS, EXTRA_BITS = 20, 12
-#: Words of all classes over this make one more part.
-PART_WORDS = 4_000_000
+BUCKET_BITS, EXTRA_BITS = 22, 10
+#: Words of a part whose tree is built, and of one that it is walked against.
+TREE_WORDS, POSTING_WORDS = 6_000_000, 24_000_000
 #: Bit rows of frequent words use this many bytes at most in a task.
 BIT_BYTES = 64 << 20
 #: Members of a group are paired in blocks of this many.
 PAIR_BLOCK = 1024
+#: Pairs that one task writes, about.
+PAIRS_A_TASK = 4_000_000
 
 _runs = re.compile(r"[^\W_]+").findall
 
@@ -69,10 +73,10 @@ def words_of(title: str | None, body: str) -> set[str]:
 
 
 class _Hashes(dict):
-    """32-bit hash of a word, kept while the worker lives; bounded in size."""
+    """64-bit hash of a word, kept while the worker lives; bounded in size."""
 
     def __missing__(self, word):
-        h = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(self) < 500_000:
             self[word] = h
         return h
@@ -84,23 +88,25 @@ _hashes = _Hashes()
 def _sets(least: int):
     def run(batches):
         for b in batches:
-            ids, klass, sizes, toks = [], [], [], []
+            ids, sizes, hashes = [], [], []
             for i, title, body in zip(*(b.column(n).to_pylist() for n in ("id", "title", "body"))):
                 if not body or not body.strip():
                     continue
                 w = words_of(title, body)
-                if len(w) < least:
-                    continue
-                h = np.fromiter(map(_hashes.__getitem__, w), np.uint32, len(w))
-                h.sort()
-                ids.append(i)
-                sizes.append(len(w))
-                klass.append(xxhash.xxh3_128_hexdigest("\n".join(sorted(w)).encode("utf-8", "surrogatepass")))
-                toks.append(h.view(np.int32))
-            off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(toks) if toks else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(klass, pa.string()), pa.array(sizes, pa.int32()), lists], ["id", "klass", "n", "toks"])
+                if len(w) >= least:
+                    ids.append(i)
+                    sizes.append(len(w))
+                    hashes.append(np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)))
+            off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            # two sums of a set's hashes tell equal sets
+            k1, k2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            if len(ids):
+                k1, k2 = np.add.reduceat(flat, off[:-1]), np.add.reduceat(flat * (flat >> np.uint64(7)), off[:-1])
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sizes, pa.int32()), lists], ["id", "k1", "k2", "n", "toks"]
+            )
 
     return run
 
@@ -108,40 +114,69 @@ def _sets(least: int):
 class WordOrder:
     """Codes of words, ascending from the rarest bucket to the most frequent."""
 
-    def __init__(self, buckets: np.ndarray, counts: np.ndarray):
-        rank = np.zeros(1 << BUCKET_BITS, np.int64)
+    def __init__(self, buckets: np.ndarray, counts: np.ndarray, firsts: np.ndarray):
+        self.rank = np.zeros(1 << BUCKET_BITS, np.int32)
         order = np.lexsort((buckets, counts))
-        rank[buckets[order]] = np.arange(len(order))
-        self.rank = rank
+        self.rank[buckets[order]] = np.arange(len(order), dtype=np.int32)
+        self.first = np.zeros(1 << BUCKET_BITS, np.uint16)
+        self.first[buckets] = firsts
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        return ((self.rank[h >> EXTRA_BITS] << EXTRA_BITS) | (h & ((1 << EXTRA_BITS) - 1))).astype(np.uint32)
+        b = h >> np.uint32(EXTRA_BITS)
+        return 2 * self.rank[b].astype(np.int64) + (self.first[b] != (h & np.uint32((1 << EXTRA_BITS) - 1)))
+
+
+#: A difference this large is written as this and what is left of it.
+FAR = 65_535
+
+
+def pack(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending codes of each row as differences of two bytes; returns them and the rows' bounds."""
+    full = np.flatnonzero(np.diff(off) > 0)
+    delta = np.diff(code, prepend=0)
+    delta[off[:-1][full]] = code[off[:-1][full]]
+    far = delta // FAR
+    ends = np.concatenate([[0], np.cumsum(far + 1)])
+    out = np.full(ends[-1], FAR, np.uint16)
+    out[ends[1:] - 1] = delta - far * FAR
+    return out, ends[off]
+
 
+def unpack(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all rows, and the number of each row, from ``n`` packed numbers a row."""
+    if not len(packed):
+        return np.zeros(0, np.uint32), np.zeros(len(n), np.int64)
+    real = packed != FAR
+    ends = np.cumsum(n)
+    code = np.cumsum(packed, dtype=np.uint32)  # wraps around, as the subtraction does
+    before = np.concatenate([np.zeros(1, np.uint32), code])[ends - n]
+    code -= np.repeat(before, n)
+    seen = np.concatenate([[0], np.cumsum(real, dtype=np.int64)])
+    return code[real], seen[ends] - seen[ends - n]
 
-def _spread(order, parts: int):
+
+def _spread(order, rows: int, columns: int):
     def run(batches):
         o: WordOrder = order.value
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
             lists = b.column("toks")
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
-            off = lists.offsets.to_numpy()
-            code = o.codes(flat).astype(np.int64)
-            base = off[0]
+            off = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint32)
+            off -= off[0]
             row = np.repeat(np.arange(len(ids), dtype=np.int64), np.diff(off))
-            code = code[base : off[-1]]
-            code = np.sort((row << 32) | code) & 0xFFFFFFFF
-            # differences keep the high bytes zero, which shuffle compression removes
-            first = off[:-1] - base
-            delta = np.diff(code, prepend=0)
-            delta[first[np.diff(off) > 0]] = code[first[np.diff(off) > 0]]
-            data = delta.astype(np.uint32).tobytes()
-            blobs = [data[4 * s : 4 * e] for s, e in zip((off[:-1] - base).tolist(), (off[1:] - base).tolist())]
-            own = (ids * 2654435761 >> 7) % parts
-            for p in range(parts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), p, np.int32)), pa.array(ids), pa.array(own == p), pa.array(blobs, pa.binary())], ["part", "id", "own", "codes"]
-                )
+            packed, bounds = pack(np.sort((row << 32) | o.codes(flat)) & 0xFFFFFFFF, off)
+            lists = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+            mine = ((ids * 2654435761) >> 9) % (rows * columns)
+            tree, post = mine % rows, mine // rows
+            for r in range(rows):
+                for c in range(columns):
+                    at = np.flatnonzero((tree == r) | (post == c))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), r * columns + c, np.int32)), pa.array(ids[at]), pa.array(tree[at] == r), pa.array(post[at] == c), lists.take(pa.array(at))],
+                            ["cell", "id", "in_tree", "posted", "codes"],
+                        )
 
     return run
 
@@ -149,25 +184,24 @@ def _spread(order, parts: int):
 class PrefixTree:
     """The prefixes of ordered records as a path-compressed tree over sorted sequences."""
 
-    def __init__(self, prefixes: list[list[int]], misses: list[int]):
-        self.order = sorted(range(len(prefixes)), key=prefixes.__getitem__)
+    def __init__(self, prefixes: list[np.ndarray], misses: list[int]):
+        keys = [p.astype(">u4").tobytes() for p in prefixes]  # sorts as the sequence does
+        self.order = sorted(range(len(keys)), key=keys.__getitem__)
+        keys = [keys[i] for i in self.order]
         self.seq = [prefixes[i] for i in self.order]
         self.miss = [misses[i] for i in self.order]
-        self.lcp = [0] + [self._common(a, b) for a, b in zip(self.seq, self.seq[1:])] + [0]
+        self.lcp = [0, *map(self._common, keys, keys[1:]), 0]
 
     @staticmethod
-    def _common(a: list[int], b: list[int]) -> int:
-        n = 0
-        for x, y in zip(a, b):
-            if x != y:
-                break
-            n += 1
-        return n
+    def _common(a: bytes, b: bytes) -> int:
+        n, most = 0, min(len(a), len(b))
+        while n < most and a[n : n + 4] == b[n : n + 4]:
+            n += 4
+        return n // 4
 
     def walk(self, postings, leaf) -> None:
-        """Calls ``leaf(record, met)`` for every record with the sorted ids met on its path, each as often as met."""
-        none = np.zeros(0, np.int32)
-        stack: list[tuple[int, np.ndarray]] = [(0, none)]
+        """Calls ``leaf(record, met)`` for every record with the ids met often enough on its path."""
+        stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.int32))]
         for k, s in enumerate(self.seq):
             while stack[-1][0] > self.lcp[k]:
                 stack.pop()
@@ -175,20 +209,19 @@ class PrefixTree:
             below = self.lcp[k + 1]
             if below > depth:
                 # an inner node: its edge is read once for the whole subtree
-                met = self._add(met, s[depth:below], postings)
                 most, j = self.miss[k], k + 1
                 while j < len(self.seq) and self.lcp[j] >= below:
                     most = max(most, self.miss[j])
                     j += 1
-                met = self._prune(met, below - most)
+                met = self._prune(self._add(met, s[depth:below], postings), below - most)
                 depth = below
                 stack.append((depth, met))
             met = self._add(met, s[depth:], postings) if len(s) > depth else met
             leaf(self.order[k], self._prune(met, len(s) - self.miss[k], once=True))
 
     @staticmethod
-    def _add(met: np.ndarray, edge: list[int], postings) -> np.ndarray:
-        out = np.concatenate([met, *[postings(t) for t in edge]])
+    def _add(met: np.ndarray, edge: np.ndarray, postings) -> np.ndarray:
+        out = np.concatenate([met, *postings(edge.tolist())])
         out.sort()
         return out
 
@@ -205,68 +238,77 @@ class PrefixTree:
         return met[np.isin(met, hit)]
 
 
-def join_part(ids: np.ndarray, own: np.ndarray, blobs: list[bytes], share_miss=lambda n: n // 5) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of the owned records with all larger ones."""
-    n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    delta = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
-    start = np.cumsum(n) - n
-    total = np.cumsum(delta)
-    code = total - np.repeat(total[start] - delta[start], n)
-    del delta, total
-    owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
-    values, where = np.unique(code, return_inverse=True)
-    where = where.astype(np.int32)
-    df = np.bincount(where, minlength=len(values))
-    del code
-    mine = np.flatnonzero(own)
-    need = np.zeros(len(values), bool)
-    prefixes, misses = [], []
+def _chunks(n: np.ndarray, most: int = 2_000_000):
+    """Runs of rows with about ``most`` words."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def join_cell(ids: np.ndarray, in_tree: np.ndarray, posted: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the records of the tree with all posted ones that are as large or larger."""
+    size_v = int(code.max()) + 1 if len(code) else 1
+    end = np.cumsum(n)
+    start = end - n
+    mine = np.flatnonzero(in_tree)
+    need = np.zeros(size_v, bool)
+    words, prefixes, misses = [], [], []
     for a in mine.tolist():
-        s, size = start[a], int(n[a])
-        m = share_miss(size)
-        p = where[s : s + min(size, m + MET)].tolist()
-        prefixes.append(p)
+        size = int(n[a])
+        w = code[start[a] : end[a]].copy()
+        m = size - -(-size * SHARE_OF[0] // SHARE_OF[1])
+        words.append(w)
+        prefixes.append(w[: m + MET])
         misses.append(m)
-        need[p] = True
-    # the most frequent words go to bit rows
+        need[w[: m + MET]] = True
+    # the words posted most often go to bit rows, for exact counts at once
     width = max(1, min(64, BIT_BYTES // (8 * max(1, len(n)))))
-    often = np.zeros(len(values), bool)
+    df = np.bincount(code, minlength=size_v)
     top = np.argsort(df, kind="stable")[::-1][: 64 * width]
-    often[top] = True
-    bit = np.full(len(values), -1, np.int64)
-    bit[top] = np.arange(len(top))
+    bit = np.full(size_v, -1, np.int32)
+    bit[top] = np.arange(len(top), dtype=np.int32)
+    need |= bit < 0
     bits = np.zeros((len(n), width), np.uint64)
-    sel = often[where]
-    b, o = bit[where[sel]], owner[sel]
-    for w in range(width):
-        q = (b >> 6) == w
-        rows, v = o[q], np.left_shift(np.uint64(1), (b[q] & 63).astype(np.uint64))
-        if len(rows):
-            cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            bits[rows[cut], w] = np.bitwise_or.reduceat(v, cut)
-    del b, o
-    sel = need[where] | ~sel
-    key = (where[sel].astype(np.int64) << 32) | owner[sel]
+    keys = []
+    for x, y in _chunks(n):
+        part = code[start[x] : end[y - 1]]
+        owner = np.repeat(np.arange(x, y, dtype=np.int32), n[x:y])
+        b = bit[part]
+        often = np.flatnonzero(b >= 0)
+        cell = owner[often].astype(np.int64) * width + (b[often] >> 6)
+        order = np.argsort(cell, kind="stable")
+        cell, v = cell[order], np.left_shift(np.uint64(1), (b[often] & 63).astype(np.uint64))[order]
+        if len(cell):
+            cut = np.flatnonzero(np.diff(cell, prepend=-1))
+            bits.reshape(-1)[cell[cut]] = np.bitwise_or.reduceat(v, cut)
+        sel = posted[owner] & need[part]
+        keys.append((part[sel].astype(np.int64) << 32) | owner[sel])
+    del code
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    del keys
     key.sort()
     post = (key & 0xFFFFFFFF).astype(np.int32)
-    at = np.searchsorted(key >> 32, np.arange(len(values) + 1)).tolist()
-    del key, sel, owner
-    postings = lambda t: post[at[t] : at[t + 1]]
-    from_, to = [], []
+    key >>= 32
+    at = np.searchsorted(key, np.arange(size_v + 1)).tolist()
+    del key
+    postings = lambda ts: [post[at[t] : at[t + 1]] for t in ts]
+    from_, to, ones = [], [], np.ones(width, np.uint8 if width < 4 else np.uint16)
 
     def leaf(k: int, met: np.ndarray) -> None:
-        a = int(mine[k])
-        size = int(n[a])
-        met = met[(met != a) & (n[met] >= size)]
+        a, w = int(mine[k]), words[k]
+        met = met[(met != a) & (n[met] >= len(w))]
         if not len(met):
             return
-        both = np.bitwise_count(bits[met] & bits[a]).sum(1, dtype=np.int64)
-        mine_ = where[start[a] : start[a] + size]
-        rare = mine_[~often[mine_]].tolist()
-        least = size - misses[k]
-        met, both = met[both + len(rare) >= least], both[both + len(rare) >= least]
-        if rare and len(met):
-            z = np.concatenate([postings(t) for t in rare])
+        both = np.bitwise_count(bits[met] & bits[a]) @ ones
+        rare = w[bit[w] < 0]
+        least = len(w) - misses[k]
+        can = both + len(rare) >= least
+        met, both = met[can], both[can]
+        if len(rare) and len(met):
+            z = np.concatenate(postings(rare.tolist()))
             z.sort()
             both = both + np.searchsorted(z, met, "right") - np.searchsorted(z, met, "left")
         good = met[both >= least]
@@ -281,9 +323,19 @@ def join_part(ids: np.ndarray, own: np.ndarray, blobs: list[bytes], share_miss=l
 
 
 def _join(table: pa.Table) -> pa.Table:
-    a, b = join_part(
-        table.column("id").to_numpy(), table.column("own").to_numpy(), [x.as_py() for c in table.column("codes").chunks for x in c]
-    )
+    data, sizes = [], []
+    for c in table.column("codes").chunks:
+        if len(c):
+            off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            sizes.append(np.diff(off) // 2)
+            if off[-1] > off[0]:
+                data.append(np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint16))
+    packed = np.concatenate(data) if data else np.zeros(0, np.uint16)
+    cols = [table.column(k).to_numpy() for k in ("id", "in_tree", "posted")]
+    del table, data
+    code, n = unpack(packed, np.concatenate(sizes).astype(np.int64))
+    del packed
+    a, b = join_cell(*cols, code, n)
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
@@ -293,28 +345,31 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
     rows = nodes.filter(F.col("kind").isin(*KINDS) & F.col("body").isNotNull()).select("id", "title", "body")
     # a word takes a character and a blank
     rows = rows.filter(F.length("body") + F.coalesce(F.length("title"), F.lit(0)) >= 2 * least - 1)
-    sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, klass string, n int, toks array<int>"), "sets")
+    sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<int>"), "sets")
     members = _members(sets, scratch)
+    t = F.col("t")
     buckets = (
         sets.select(F.explode("toks").alias("t"))
-        .groupBy(F.shiftrightunsigned("t", EXTRA_BITS).alias("bucket"))
-        .agg(F.count("*").alias("n"))
+        .groupBy(F.shiftrightunsigned(t, EXTRA_BITS).alias("bucket"))
+        .agg(F.count("*").alias("n"), F.min(t.bitwiseAND(F.lit((1 << EXTRA_BITS) - 1))).alias("first"))
     )
-    counts = buckets.toArrow()  # 2^20 rows at most
-    order = spark.sparkContext.broadcast(WordOrder(counts["bucket"].to_numpy(), counts["n"].to_numpy()))
+    counts = buckets.toArrow()  # 2^22 rows at most
+    order = spark.sparkContext.broadcast(WordOrder(*(counts[k].to_numpy() for k in ("bucket", "n", "first"))))
     copies = members.filter("id <> rep").select("id")
     # a repeated row of the table is a repeated id: one of its sets is enough
     reps = sets.join(copies, "id", "left_anti")
     words = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-words // PART_WORDS))
-    spread = reps.select("id", "toks").mapInArrow(_spread(order, parts), "part int, id bigint, own boolean, codes binary")
-    links = spread.groupBy("part").applyInArrow(_join, "a bigint, b bigint").filter("a <> b").distinct()
+    rows, columns = max(1, -(-words // TREE_WORDS)), max(1, -(-words // POSTING_WORDS))
+    schema = "cell int, id bigint, in_tree boolean, posted boolean, codes binary"
+    spread = reps.select("id", "toks").mapInArrow(_spread(order, rows, columns), schema)
+    links = spread.groupBy("cell").applyInArrow(_join, "a bigint, b bigint").filter("a <> b").distinct()
     return members, scratch.keep(links, "links")
 
 
 def _members(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    reps = sets.groupBy("klass").agg(F.min("id").alias("rep"))
-    return scratch.keep(sets.select("id", "klass").join(reps, "klass").select("id", "rep").distinct(), "members")
+    key = ["k1", "k2", "n"]
+    reps = sets.groupBy(*key).agg(F.min("id").alias("rep"))
+    return scratch.keep(sets.select("id", *key).join(reps, key).select("id", "rep").distinct(), "members")
 
 
 def groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -328,14 +383,32 @@ def groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def pairs_of_groups(member: DataFrame) -> DataFrame:
-    """All pairs of ids of a group. Large groups are paired in blocks over many tasks."""
+    """All pairs of ids of a group. Large groups are paired block by block over many tasks."""
     size = member.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
-    m = member.select("id", "grp").join(size, "grp").withColumn("k", F.ceil(F.col("size") / PAIR_BLOCK).cast("int"))
-    m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    other = F.explode(F.expr("sequence(0, k - 1)"))
-    left = m.select("grp", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("node_a"))
-    right = m.select("grp", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("node_b"))
-    return left.join(right, ["grp", "i", "j"]).filter("node_a < node_b").select("node_a", "node_b")
+    total = size.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
+    m = member.select("id", "grp").join(size, "grp")
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PAIR_BLOCK)).cast("int")
+    blocks = m.groupBy("grp", own.alias("i")).agg(F.collect_list("id").alias("a"))
+    other = blocks.select("grp", F.col("i").alias("j"), F.col("a").alias("b"))
+    both = blocks.join(other, "grp").filter("i <= j")
+    # a fixed number, since few bytes of blocks make many rows
+    both = both.repartition(max(1, min(10_000, int(total // PAIRS_A_TASK) + 1)), "grp", "i", "j")
+    return both.select("a", "b", (F.col("i") == F.col("j")).alias("same")).mapInArrow(_pairs, "node_a bigint, node_b bigint")
+
+
+def _pairs(batches):
+    """The pairs of two blocks, the smaller id first, in ascending runs."""
+    schema = pa.schema([("node_a", pa.int64()), ("node_b", pa.int64())])
+    for batch in batches:
+        for a, b, same in zip(batch.column("a"), batch.column("b"), batch.column("same").to_pylist()):
+            a, b = np.sort(a.values.to_numpy()), np.sort(b.values.to_numpy())
+            for x, y in ((a, b),) if same else ((a, b), (b, a)):
+                first = np.searchsorted(y, x, "right")
+                n = len(y) - first
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)), pa.array(y[at])], schema=schema)
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
