@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratalog.operators import changefeed, hierarchy, orphans
-from stratalog.plans import problems
+from stratalog.plans import more_queries, problems, registry, report_queries, search_queries, source_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:
@@ -15,12 +15,13 @@ def queries() -> dict:
         "p5_descendants": hierarchy.p5_descendants,
         "p6_found": changefeed.p6_found,
         "p6_counts": changefeed.p6_counts,
+        **registry.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return {**problems.SQL, **registry.SQL}
 
 
 def flagship(spark, sf_dir: str):
-    return changefeed.p6_found(spark, sf_dir)
+    return search_queries.r27_recall(spark, sf_dir)

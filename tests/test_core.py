@@ -1,0 +1,144 @@
+"""Operators of the core on small tables written by hand."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratalog.operators import changefeed, components, graph, hierarchy, ledger, orphans, replication, search
+from stratalog.sources import chunker, files
+
+
+def feed(spark, rows):
+    return spark.createDataFrame(rows, "uid string, feed_id long, updated_at long, deleted_at long, body string, rank int")
+
+
+def test_feed_order_ties_and_extra_columns(spark):
+    rows = [
+        ("a", 1, 10, None, "old", 1), ("A ", 2, 20, None, "new", 2), ("a", 2, 20, None, "new", 2),
+        ("b", 3, 5, None, "live", 3), ("b", 4, None, 5, "gone", 4), ("c", 6, None, None, "x", 5), ("c", 5, None, None, "y", 6),
+        (None, 7, 9, None, "no key", 7), ("  ", 8, 9, None, "no key", 8),
+    ]
+    got = {(r["uid"], r["feed_id"], r["body"], r["rank"]) for r in changefeed.apply_feed(feed(spark, rows)).collect()}
+    assert got == {("A", 2, "new", 2), ("C", 5, "y", 6)}
+
+
+def test_feed_empty_and_base(spark):
+    assert changefeed.apply_feed(feed(spark, [])).count() == 0
+    base = feed(spark, [("a", -1, 7, None, "base", 0), ("z", -2, 1, None, "kept", 0)])
+    got = {(r["uid"], r["body"]) for r in changefeed.apply_feed(feed(spark, [("a", 1, 7, None, "later", 1)]), base).collect()}
+    assert got == {("A", "base"), ("Z", "kept")}
+
+
+def test_direct_orphans_and_cascade(spark):
+    nodes = spark.createDataFrame(
+        [(1, None, None, 0), (2, 99, None, 0), (3, 2, None, 0), (4, 3, None, 0), (5, 6, None, 0), (6, 5, None, 0), (7, 1, 5, 0), (8, 7, None, 0)],
+        "id long, parent_id long, deleted_at long, created_at long",
+    )
+    lost = {(r["id"], r["how"], r["level"]) for r in orphans.cascade(spark, nodes).collect()}
+    assert lost == {(2, "direct", 0), (3, "inherited", 1), (4, "inherited", 2), (8, "direct", 0)}
+    edges = spark.createDataFrame([(1, 1, 42, 10), (1, 1, 42, 10), (2, 7, None, 10), (3, 1, 3, -5)], "id long, src long, dst long, created_at long")
+    got = {(r["ref_id"], r["side"], r["state"]) for r in orphans.edge_orphans(edges, nodes).collect()}
+    assert got == {(1, "dst", "missing"), (2, "src", "deleted"), (3, "src", "late"), (3, "dst", "late")}
+    assert orphans.edge_orphans(edges.limit(0), nodes).count() == 0
+    assert orphans.edge_orphans(edges, nodes.limit(0)).filter("state <> 'missing'").count() == 0
+
+
+def brute_walk(parent, start):
+    seen, path = set(), [start]
+    while True:
+        p = parent.get(path[0])
+        if p is None or p not in parent:
+            return path[0], len(path) - 1, path
+        if p in seen or p == path[0]:
+            return -1, -1, None
+        seen.add(p)
+        path.insert(0, p)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_hierarchy_against_walks(spark, seed):
+    rng = random.Random(seed)
+    n = 120
+    parent = {i: rng.choice([None, *range(n + 10)]) if rng.random() < 0.6 else (i - 1 if i else None) for i in range(n)}
+    rows = [("x", i, "x", p) for i, p in parent.items() if p is not None]
+    links = spark.createDataFrame(rows, "s string, id long, ps string, pid long")
+    there = spark.createDataFrame([("x", i) for i in range(n)], "s string, id long")
+    got = {r["id"]: (r["root_id"], r["depth"], r["path"]) for r in hierarchy.contract(spark, links, there, paths=True).collect()}
+    want = {i: brute_walk(parent, i) for _, i, _, _ in rows}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert {k: v[2] for k, v in got.items() if v[2]} == {k: v[2] for k, v in want.items() if v[2]}
+
+
+def test_hierarchy_long_chain_and_empty(spark):
+    n = 400
+    links = spark.range(1, n).select(F.lit("x").alias("s"), "id", F.lit("x").alias("ps"), (F.col("id") - 1).alias("pid"))
+    there = spark.range(n).select(F.lit("x").alias("s"), "id")
+    done = hierarchy.contract(spark, links, there)
+    assert done.filter("root_id <> 0 or depth <> id").count() == 0 and done.count() == n - 1
+    assert hierarchy.contract(spark, links.limit(0), there).count() == 0
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (2, 1), (9, 9), (5, 6), (7, 6), (None, 3)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components.components(spark, e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9, 5: 5, 6: 5, 7: 5}
+    assert components.components(spark, e.limit(0)).count() == 0
+
+
+def test_graph_walks(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], "src long, dst long")
+    got = {(r["id"], r["distance"]) for r in graph.reach(e, spark.createDataFrame([(1,)], "id long"), 5).collect()}
+    assert got == {(2, 1), (3, 2), (4, 3)}
+    assert graph.shortest_path(e, 1, 4) == [1, 2, 3, 4] and graph.shortest_path(e, 1, 9) is None
+
+
+def test_lww_ties(spark):
+    s = "id long, uid string, updated_at long, deleted_at long, strength double, access_count long"
+    local = spark.createDataFrame([(1, "u", 5, None, 2.0, 7), (2, "v", 5, None, 1.0, 1)], s)
+    other = spark.createDataFrame([(1, "u", 5, 5, 9.0, 0), (2, "v", 5, None, 9.0, 0), (3, "w", 1, None, 4.0, 0)], s)
+    got = {r["uid"]: (r["incoming"], r["strength"], r["deleted_at"]) for r in replication.apply_lww(local, other).collect()}
+    assert got == {"u": (1, 2.0, 5), "v": (0, 1.0, None), "w": (1, 4.0, None)}
+    assert replication.cursor(100, 50) == 0 and replication.cursor(500, 900) == 440
+
+
+def test_strength_fold_is_capped(spark):
+    ev = spark.createDataFrame([(i, 1, "useful", i * 86400) for i in range(20)] + [(99, 1, "useful", 5)], "id long, node_id long, event string, at long")
+    assert ledger.fold_strength(ev).first()["strength"] == 10.0
+
+
+def test_sign_test_and_budget():
+    assert search.sign_test(0, 0) == 1.0 and abs(search.sign_test(5, 0) - 0.0625) < 1e-12
+    assert search.fill_budget([(1, 100), (2, 80), (3, 40)], 150) == [1, 3]
+
+
+def test_chunker_keeps_fences_and_lines():
+    text = "# A\n" + "one two three four five six\n" * 20 + "\n```sh\n# no heading\nx\n```\n\n## B\n" + "word " * 70
+    got = chunker.chunk_text("doc.md", text)
+    assert [t for t, *_ in got] == ["doc.md › A", "doc.md › A › B"]
+    assert "# no heading" in got[0][1] and got[1][2] == text.split("## B")[0].count("\n") + 1
+
+
+def test_ignore_rules_and_collections():
+    assert files.ignored("a/target/x.rs", ["target/", "!keep.rs"]) and not files.ignored("keep.rs", ["*.rs", "!keep.rs"])
+    assert files.collections("collections:\n  docs:\n    path: './d'\nother:\n  x:\n    path: y\n") == [("docs", "./d")]
+
+
+def test_thoughts_and_notes(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("1. [3/4/2024] (decision - a, b)\n   use it\n2. [1/2/2023] (odd)\n   body\n   more\n")
+    got = {(r["number"], r["subkind"], tuple(r["tags"]), r["body"]) for r in files.thoughts(spark, str(tmp_path / "t.txt")).collect()}
+    assert got == {(1, "decision", ("a", "b"), "use it"), (2, "note", (), "body\nmore")}
+    d = tmp_path / "n"
+    d.mkdir()
+    (d / "x.md").write_text("---\ntype: gotcha\n---\nhello\n")
+    (d / "MEMORY.md").write_text("index")
+    assert [(r["subkind"], r["body"]) for r in files.notes(spark, str(d)).collect()] == [("gotcha", "hello")]
+
+
+def test_core_does_not_import_llm():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "stratalog"
+    for p in root.rglob("*.py"):
+        if "llm" not in p.parts:
+            assert "stratalog.llm" not in p.read_text()
