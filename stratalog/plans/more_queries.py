@@ -135,10 +135,10 @@ def a30_shadow_evaluation(spark, sf):
     )
 
 
-@query("""with r as (select uid, updated_at, title, feed_id from sync_record where uid is not null and updated_at is not null) select uid, min_by(title, updated_at * 1000000 + feed_id) as title from r where updated_at > 1700000000 group by 1""")
+@query("""with r as (select uid, updated_at, title, feed_id from sync_record where uid is not null and title is not null) select uid, min_by(title, updated_at * 1000000 + feed_id) as title from r where updated_at > 1700000000 group by 1""")
 def w5_text_at(spark, sf):
     """The earliest wording of each record written after a time."""
-    r = load(spark, sf, "sync_record").filter("uid is not null and updated_at > 1700000000")
+    r = load(spark, sf, "sync_record").filter("uid is not null and title is not null and updated_at > 1700000000")
     return r.groupBy("uid").agg(F.min_by("title", F.col("updated_at") * 1_000_000 + F.col("feed_id")).alias("title"))
 
 
