@@ -24,9 +24,9 @@ the grid, so what is moved grows with the words times the sum of the sides.
 
 The order of the words comes from counts over all records, in 2^22 buckets of
 word hashes: a table of fixed size. A word's code is the rank of its bucket and
-whether it is the bucket's first word. An unlucky order makes the walk longer,
-never the result smaller. Two words share a code if they are the second and
-third of one bucket; a record could then seem to share a word too many.
+its place among the bucket's first four words. An unlucky order makes the walk
+longer, never the result smaller. Two words share a code only if 38 bits of
+their hashes are the same, or if they are the fifth word or later of a bucket.
 
 Defined cases: null or blank bodies, other kinds and records of fewer than
 ``least`` words take no part; a null title counts as empty; repeated ids count
@@ -52,7 +52,9 @@ KINDS = ("memory", "chunk", "annotation")
 SHARE_OF, LEAST = (4, 5), 10
 #: Words of the prefix that must be met beyond the misses allowed.
 MET = 4
-BUCKET_BITS, EXTRA_BITS = 22, 10
+BUCKET_BITS, EXTRA_BITS, PLACES = 22, 16, 4
+#: The class copies are sent to all tasks only up to this number of bytes.
+COPIES_BYTES = 8 << 20
 #: Words of a part whose tree is built, and of one that it is walked against.
 TREE_WORDS, POSTING_WORDS = 6_000_000, 24_000_000
 #: Bit rows of frequent words use this many bytes at most in a task.
@@ -103,7 +105,7 @@ def _sets(least: int):
             k1, k2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             if len(ids):
                 k1, k2 = np.add.reduceat(flat, off[:-1]), np.add.reduceat(flat * (flat >> np.uint64(7)), off[:-1])
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((flat >> np.uint64(64 - BUCKET_BITS - EXTRA_BITS)).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sizes, pa.int32()), lists], ["id", "k1", "k2", "n", "toks"]
             )
@@ -114,16 +116,19 @@ def _sets(least: int):
 class WordOrder:
     """Codes of words, ascending from the rarest bucket to the most frequent."""
 
-    def __init__(self, buckets: np.ndarray, counts: np.ndarray, firsts: np.ndarray):
+    def __init__(self, buckets: np.ndarray, counts: np.ndarray, extras: list[list[int]]):
         self.rank = np.zeros(1 << BUCKET_BITS, np.int32)
         order = np.lexsort((buckets, counts))
         self.rank[buckets[order]] = np.arange(len(order), dtype=np.int32)
-        self.first = np.zeros(1 << BUCKET_BITS, np.uint16)
-        self.first[buckets] = firsts
+        self.extra = np.full((max(1, len(order)), PLACES), -1, np.int32)
+        for k, i in enumerate(order.tolist()):
+            e = extras[i]
+            self.extra[k, : len(e)] = e
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        b = h >> np.uint32(EXTRA_BITS)
-        return 2 * self.rank[b].astype(np.int64) + (self.first[b] != (h & np.uint32((1 << EXTRA_BITS) - 1)))
+        r = self.rank[h >> EXTRA_BITS]
+        place = (self.extra[r] == (h & ((1 << EXTRA_BITS) - 1))[:, None]).argmax(1)
+        return PLACES * r.astype(np.int64) + place
 
 
 #: A difference this large is written as this and what is left of it.
@@ -162,7 +167,7 @@ def _spread(order, rows: int, columns: int):
             ids = b.column("id").to_numpy(zero_copy_only=False)
             lists = b.column("toks")
             off = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint32)
+            flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
             off -= off[0]
             row = np.repeat(np.arange(len(ids), dtype=np.int64), np.diff(off))
             packed, bounds = pack(np.sort((row << 32) | o.codes(flat)) & 0xFFFFFFFF, off)
@@ -345,17 +350,18 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
     rows = nodes.filter(F.col("kind").isin(*KINDS) & F.col("body").isNotNull()).select("id", "title", "body")
     # a word takes a character and a blank
     rows = rows.filter(F.length("body") + F.coalesce(F.length("title"), F.lit(0)) >= 2 * least - 1)
-    sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<int>"), "sets")
+    sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<bigint>"), "sets")
     members = _members(sets, scratch)
-    t = F.col("t")
-    buckets = (
-        sets.select(F.explode("toks").alias("t"))
-        .groupBy(F.shiftrightunsigned(t, EXTRA_BITS).alias("bucket"))
-        .agg(F.count("*").alias("n"), F.min(t.bitwiseAND(F.lit((1 << EXTRA_BITS) - 1))).alias("first"))
+    words = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    extra = F.col("t").bitwiseAND(F.lit((1 << EXTRA_BITS) - 1)).cast("int")
+    buckets = words.groupBy(F.shiftrightunsigned("t", EXTRA_BITS).alias("bucket")).agg(
+        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(extra)), 1, PLACES).alias("extras")
     )
     counts = buckets.toArrow()  # 2^22 rows at most
-    order = spark.sparkContext.broadcast(WordOrder(*(counts[k].to_numpy() for k in ("bucket", "n", "first"))))
+    order = spark.sparkContext.broadcast(WordOrder(counts["bucket"].to_numpy(), counts["n"].to_numpy(), counts["extras"].to_pylist()))
     copies = members.filter("id <> rep").select("id")
+    if 16 * copies.count() <= COPIES_BYTES:
+        copies = F.broadcast(copies)
     # a repeated row of the table is a repeated id: one of its sets is enough
     reps = sets.join(copies, "id", "left_anti")
     words = sets.agg(F.sum("n")).first()[0] or 0
