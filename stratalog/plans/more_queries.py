@@ -299,3 +299,64 @@ def e6_sessions(spark, sf):
     x = recall_event(spark, sf).withColumn("gap", F.col("at") - F.lag("at").over(w))
     first = F.when(F.col("gap").isNull() | (F.col("gap") > DAY), 1).otherwise(0)
     return x.groupBy("node_id").agg(F.sum(first).alias("sessions"))
+
+
+_EMBED = """with d as (select content_hash, count(*) as n from embedding where vec is not null and content_hash is not null and len(vec) = 64 group by 1)
+  select n.id as node_id, d.n is not null as copied from node n left join d using (content_hash) where n.kind = 'memory' and n.deleted_at is null and n.body is not null and n.content_hash is not null"""
+
+
+@query(_EMBED)
+def r20_embed_pending(spark, sf):
+    """Which memories get a vector by copy and which by the embedder."""
+    from stratalog.operators.inject import embed_pending, hash_embedder
+
+    n = nodes(spark, sf, "id", "kind", "body", "content_hash", "deleted_at").filter("kind = 'memory' and deleted_at is null and body is not null and content_hash is not null")
+    donors = load(spark, sf, "embedding").filter("vec is not null and content_hash is not null and size(vec) = 64").select("content_hash", "vec")
+    return embed_pending(n.select("id", "content_hash", "body"), donors, hash_embedder()).select("node_id", "copied")
+
+
+@query()
+def r15_injection(spark, sf):
+    """What the floor lets through for the flagship's text."""
+    from stratalog.operators import inject, search
+    from stratalog.plans import search_queries as Q
+
+    leg = search.leg(search.vector_leg(Q.vectors(spark, sf), Q.query_vector(spark, sf)))
+    hits = search.score(Q.fused(spark, sf), load(spark, sf, "node"), NOW).join(nodes(spark, sf, "id", "subkind", "pinned"), "id")
+    return inject.floor(hits, leg, Q.QUERY).select("id", "overlap", "score")
+
+
+@query("select id from node where kind = 'memory' and deleted_at is null and tags_text <> '' and len(list_filter(string_split(tags_text, ' '), lambda x: length(x) > 3 and contains('the default retention of the shared index moved', x))) > 0")
+def r16_fires(spark, sf):
+    """Memories of which a tag, read as a trigger phrase, fires on the flagship's text."""
+    from stratalog.operators.inject import fires
+    from stratalog.plans.search_queries import QUERY
+
+    n = nodes(spark, sf, "id", "kind", "tags_text", "deleted_at").filter("kind = 'memory' and deleted_at is null and tags_text <> ''")
+    n = n.withColumn("phrases", F.filter(F.split("tags_text", " "), lambda x: F.length(x) > 3))
+    return n.filter(fires("phrases", QUERY)).select("id")
+
+
+@query("""with f as (select distinct file_id, path, content from source_file where content is not null and lang = 'rust'), i as (select file_id, unnest(regexp_extract_all(content, 'use crate::([a-z_0-9]+)::', 1)) as module from f)
+  select module, count(distinct file_id) as files from i group by 1""")
+def g9_imports(spark, sf):
+    """Modules by the Rust files that import from them."""
+    f = load(spark, sf, "source_file").filter("content is not null and lang = 'rust'").select("file_id", "content").distinct()
+    i = f.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"use crate::([a-z_0-9]+)::"), F.lit(1))).alias("module"))
+    return i.groupBy("module").agg(F.countDistinct("file_id").alias("files"))
+
+
+@query("select machine, max(greatest(updated_at, coalesce(deleted_at, 0))) as newest, greatest(0, least(max(greatest(updated_at, coalesce(deleted_at, 0))), 1765000000) - 60) as next_pull from sync_record where updated_at is not null group by 1")
+def y3_cursors(spark, sf):
+    """Where the next pull from each peer begins."""
+    newest = F.max(F.greatest("updated_at", F.coalesce("deleted_at", F.lit(0))))
+    r = load(spark, sf, "sync_record").filter("updated_at is not null").groupBy("machine").agg(newest.alias("newest"))
+    return r.select("machine", "newest", F.greatest(F.lit(0), F.least("newest", F.lit(NOW)) - 60).alias("next_pull"))
+
+
+@query("""select k.id, coalesce(k.n, 0) as kids from (select p.id, count(c.id) as n from node p left join node c on c.parent_id = p.id and c.deleted_at is null where p.kind = 'file' group by 1) k""")
+def c9_outline_sizes(spark, sf):
+    """Live children of every file."""
+    p = nodes(spark, sf, "id", "kind").filter("kind = 'file'").select("id")
+    c = nodes(spark, sf, "parent_id", "deleted_at").filter("parent_id is not null and deleted_at is null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    return p.join(c, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("kids"))

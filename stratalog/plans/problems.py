@@ -35,13 +35,8 @@ ended as (
   select s, id, arg_max(c, depth) as root_id, max(depth) as depth, bool_or(loops) as loops, arg_max(path, depth) as path
   from walk group by s, id)"""
 
-SQL = {
-    "p6_found": f"with {_WON} select k as uid, feed_id from won where not dead",
-    "p6_counts": f"""with {_WON} select coalesce(mtype, 'none') as mtype, count(*) as keys,
-      sum(case when dead then 0 else 1 end)::bigint as live, sum(case when dead then 1 else 0 end)::bigint as deleted
-      from won group by 1""",
-    "p2_found": f"""with {_WON},
-      n as (select id, max(case when deleted_at is not null then 1 else 0 end) as gone, min(created_at) as born from node group by id),
+_P2 = f"""{_WON},
+      n as (select id, max(case when deleted_at is not null then 1 else 0 end) as gone, min(created_at) as born, min(parent_id) as parent_id from node group by id),
       er as (select 'edge' as tbl, id as ref_id, 'src' as side, src as k, created_at from edge where src is not null
         union select 'edge', id, 'dst', dst, created_at from edge where dst is not null),
       e as (select tbl, strftime(make_timestamp(er.created_at * 1000000), '%Y-%m') as period, ref_id, side,
@@ -52,8 +47,31 @@ SQL = {
         union select 'sync_edge', seq, 'dst', coalesce({_uid('dst_uid')}, ''), received_at, created_at from sync_edge where dst_uid is not null),
       s as (select tbl, strftime(make_timestamp(sr.created_at * 1000000), '%Y-%m') as period, ref_id, side,
         case when won.k is null then 'missing' when won.dead then 'deleted' when born.born > sr.received_at then 'late' end as state
-        from sr left join won on won.k = sr.k left join born on born.k = sr.k)
-      select distinct * from (select * from e union all select * from s) where state is not null""",
+        from sr left join won on won.k = sr.k left join born on born.k = sr.k),
+      found as (select distinct * from (select * from e union all select * from s) where state is not null)"""
+
+_LINK = "case when s in ('node', 'project') then 'project_id' else s end as link, case when s = 'project' then 'project' else 'node' end as \"of\""
+
+SQL = {
+    "p6_found": f"with {_WON} select k as uid, feed_id from won where not dead",
+    "p6_counts": f"""with {_WON} select coalesce(mtype, 'none') as mtype, count(*) as keys,
+      sum(case when dead then 0 else 1 end)::bigint as live, sum(case when dead then 1 else 0 end)::bigint as deleted
+      from won group by 1""",
+    "p2_found": f"with {_P2} select * from found",
+    "p2_report": f"""with recursive {_P2},
+      direct as (select c.id from n c left join n p on p.id = c.parent_id where c.parent_id is not null and (p.id is null or p.gone = 1)),
+      lost as (select id from direct union select n.id from lost join n on n.parent_id = lost.id),
+      rows as (select tbl, period, state, 'direct' as how from found
+        union all select 'edge', strftime(make_timestamp(er.created_at * 1000000), '%Y-%m'), 'orphaned', 'inherited' from er
+          where k in (select id from lost) and not exists (select 1 from found f where f.tbl = 'edge' and f.ref_id = er.ref_id and f.side = er.side)
+        union all select 'node', strftime(make_timestamp(n.born * 1000000), '%Y-%m'), case when d.id is null then 'orphaned' else 'broken' end, case when d.id is null then 'inherited' else 'direct' end
+          from lost join n using (id) left join direct d using (id))
+      select tbl, period, state, how, count(*) as refs from rows group by all""",
+    "p5_paths": f"""with recursive {_WALK} select {_LINK}, id as node_id, (case when loops then -1 else root_id end)::bigint as root_id,
+      (case when loops then -1 else depth end)::bigint as depth, case when not loops then list_reverse(path) end as path from ended""",
+    "p5_descendants": f"""with recursive {_WALK}, d as (select {_LINK}, depth, list_reverse(path) as path from ended where not loops and depth > 0),
+      u as (select link, "of", unnest(path[1:depth]) as ancestor, depth - unnest(range(0, depth)) as distance from d)
+      select link, "of", ancestor, count(*) as descendants, max(distance)::bigint as height from u group by all""",
     "p5_found": f"""with recursive {_WALK}
       select distinct case when s in ('node', 'project') then 'project_id' else s end as link, id as node_id,
         (case when loops then -1 else root_id end)::bigint as root_id, (case when loops then -1 else depth end)::bigint as depth

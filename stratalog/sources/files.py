@@ -12,6 +12,10 @@ LOCKS = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poet
 MOST_BYTES = 256 * 1024
 
 
+def _strip(c) -> F.Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def ignored(path: str, patterns: list[str]) -> bool:
     """Whether the last matching line of an ignore file excludes the path; ``!`` takes back."""
     out = False
@@ -47,7 +51,7 @@ THOUGHTS = {"insight": "insight", "decision": "decision", "gotcha": "gotcha", "i
 def thoughts(spark: SparkSession, path: str) -> DataFrame:
     """Items of a numbered export: ``12. [3/14/2024] (decision - a, b)`` with an indented body."""
     head = r"^(\d+)\. \[(\d{1,2}/\d{1,2}/\d{4})\] \((\w+)(?: - (.*))?\)\s*$"
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
     h = F.col("line").rlike(head)
     t = t.withColumn("item", F.sum(F.when(h, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("no"))).filter("item > 0")
     g = t.groupBy("file", "item").agg(
@@ -58,17 +62,17 @@ def thoughts(spark: SparkSession, path: str) -> DataFrame:
     return g.select(
         "file", x(1).cast("long").alias("number"), F.to_date(x(2), "M/d/yyyy").alias("date"), kind.alias("subkind"),
         F.filter(F.transform(F.split(x(4), ","), lambda w: F.trim(w)), lambda w: w != "").alias("tags"),
-        F.trim(F.array_join(F.transform("rest", lambda r: r["line"]), "\n")).alias("body"),
+        _strip(F.array_join(F.transform("rest", lambda r: r["line"]), "\n")).alias("body"),
     )
 
 
 def notes(spark: SparkSession, folder: str, index: str = "MEMORY.md") -> DataFrame:
     """Markdown notes with a ``type:`` in their front matter; the index file is skipped."""
-    t = spark.read.option("wholetext", True).text(folder, pathGlobFilter="*.md").select(F.input_file_name().alias("file"), "value")
+    t = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("file"), "value")
     t = t.filter(~F.col("file").endswith("/" + index))
     front = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
     kind = F.lower(F.regexp_extract(front, r"(?m)^type:\s*(\S+)\s*$", 1))
-    body = F.trim(F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*\n", ""))
+    body = _strip(F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*\n", ""))
     return t.select("file", F.when(kind.isin("insight", "decision", "gotcha", "idea", "note", "person", "summary"), kind).otherwise("note").alias("subkind"), body.alias("body"))
 
 
