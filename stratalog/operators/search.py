@@ -49,10 +49,12 @@ def bm25(nodes: DataFrame, text: str, stemmed: bool = False) -> DataFrame:
     cols = {c: tok(c) for c in WEIGHTS}
     base = nodes.select("id", *[v.alias(f"t_{c}") for c, v in cols.items()])
     dl = sum((F.size(f"t_{c}") for c in WEIGHTS), F.lit(0))
+    # one pass over the tokens leaves those of the query, which are few
+    base = base.select("id", dl.alias("dl"), *[F.filter(f"t_{c}", lambda x: x.isin(*terms)).alias(f"t_{c}") for c in WEIGHTS])
     hits = [F.size(F.filter(f"t_{c}", _equal(t))) for t in terms for c in WEIGHTS]
     w = list(WEIGHTS.values())
     tf = [sum((hits[i * len(w) + k] * w[k] for k in range(len(w))), F.lit(0.0)) for i in range(len(terms))]
-    base = base.select("id", dl.alias("dl"), F.array(*tf).alias("tf")) if terms else base.select("id", dl.alias("dl"), F.array().cast("array<double>").alias("tf"))
+    base = base.select("id", "dl", (F.array(*tf) if terms else F.array().cast("array<double>")).alias("tf"))
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     j = base.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
