@@ -1,9 +1,8 @@
 """Parent-child links of unknown depth turned into roots, depths, paths and descendants.
 
 Tree contraction. A round rakes every leaf and then compresses chains: a vertex
-with one child left is spliced out when a coin of its own falls heads and its
-child's falls tails, so no two neighbours go at once and the child takes over
-its link. Every removal is written down with the link it had. Trees vanish in a
+with one child left is spliced out when it drew a smaller lot than its child and
+its parent, so no two neighbours go at once and the child takes over its link. Every removal is written down with the link it had. Trees vanish in a
 number of rounds that grows with the logarithm of their size, however deep they
 are. Reading the removals backwards gives each vertex its root and depth from
 the vertex it hung on. What does not vanish is a loop: compression shrinks it to
@@ -30,8 +29,9 @@ from stratalog.tables import load
 KEY, UP = ["s", "id"], ["ps", "pid"]
 
 
-def _coin(i: int, *cols) -> F.Column:
-    return F.xxhash64(*cols, F.lit(i)).bitwiseAND(F.lit(1)) == 1
+def _lot(i: int, *cols) -> F.Column:
+    """A vertex's lot of a round."""
+    return F.xxhash64(*cols, F.lit(i))
 
 
 def contract(spark, links: DataFrame, present: DataFrame, paths: bool = False) -> DataFrame:
@@ -63,15 +63,15 @@ def contract(spark, links: DataFrame, present: DataFrame, paths: bool = False) -
         leaves = marked.filter(F.col("n").isNull() & ~loop).select(*KEY, *UP, *extra)
         inner = marked.filter(F.col("n").isNotNull() & ~loop).select(*KEY, *UP, *extra)
         removed.append(leaves)
-        # chains: one inner child left, own coin heads, the child's tails
+        # chains: one inner child left, and a smaller lot than the child's and the parent's
         single = (
             inner.groupBy(*UP)
             .agg(F.count("*").alias("n"), F.min(F.struct("s", "id")).alias("kid"))
             .filter("n = 1")
-            .filter(_coin(i, "ps", "pid") & ~_coin(i, "kid.s", "kid.id"))
+            .filter(_lot(i, "ps", "pid") < _lot(i, "kid.s", "kid.id"))
             .select(F.col("ps").alias("s"), F.col("pid").alias("id"), "kid")
         )
-        cut = scratch.keep(inner.join(single, KEY).select(*KEY, *UP, *extra, "kid"), f"cut_{i}")
+        cut = scratch.keep(inner.filter(_lot(i, *KEY) < _lot(i, *UP)).join(single, KEY).select(*KEY, *UP, *extra, "kid"), f"cut_{i}")
         over = cut.select(
             F.col("kid.s").alias("s"), F.col("kid.id").alias("id"), F.col("id").alias("mid"),
             F.col("ps").alias("ps2"), F.col("pid").alias("pid2"), F.col("w").alias("w2"),
