@@ -14,7 +14,7 @@ STOPWORDS = (
     "were what when where which who why will with would you your"
 ).split()
 # Cues that turn a statement around; fixed values.
-NEGATIONS = ("not", "never", "don't", "dont", "doesn't", "doesnt", "isn't", "isnt", "won't", "wont", "no longer", "avoid", "instead", "deprecated", "stop", "without", "removed")
+NEGATIONS = ("not", "never", "don't", "dont", "doesn't", "doesnt", "isn't", "isnt", "won't", "wont", "no longer", "avoid", "instead", "deprecated", "wrong", "refuting", "refuted")
 # Shapes of secrets in text; fixed values.
 SECRETS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",

@@ -160,13 +160,17 @@ def sign_test(wins: int, losses: int) -> float:
     return min(1.0, 2 * tail)
 
 
-def fill_budget(rows: list[tuple[int, int]], budget: int, most: int = 6) -> list[int]:
-    """Ids taken in order while they fit; a later, smaller one may take the place of one that does not. Rows are (id, tokens)."""
-    out, left = [], budget
-    for i, t in rows:
-        if len(out) == most:
+def fill_budget(rows: DataFrame, budget: int, most: int = 6) -> list[int]:
+    """Ids of ``rows`` (id, score, updated_at, tokens) taken in order while they fit; a smaller one
+    further down takes the place of one that does not. One small job for each of the few ids."""
+    order = [F.desc("score"), F.desc("updated_at"), F.asc("id")]
+    out, left, after = [], budget, F.lit(True)
+    for _ in range(most):
+        r = rows.filter((F.col("tokens") <= left) & after).orderBy(*order).first()
+        if r is None:
             break
-        if t <= left:
-            out.append(i)
-            left -= t
+        out.append(r["id"])
+        left -= r["tokens"]
+        s, u, i = (F.lit(r[k]) for k in ("score", "updated_at", "id"))
+        after = (F.col("score") < s) | ((F.col("score") == s) & ((F.col("updated_at") < u) | ((F.col("updated_at") == u) & (F.col("id") > i))))
     return out

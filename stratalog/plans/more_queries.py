@@ -215,24 +215,24 @@ def g16_partners(spark, sf):
     return b.select("node", "other", w.alias("w")).filter("w >= 0.3").select("node", "other", F.round("w", 6).alias("weight"))
 
 
-@query(f"select id, {NOW}::bigint as deleted_at from node where kind = 'memory' and id % 5 = 0 and deleted_at is null union all select id, deleted_at from node where not (kind = 'memory' and id % 5 = 0 and deleted_at is null)")
+@query(f"select id, {NOW}::bigint as deleted_at from node where kind = 'memory' and subkind = 'idea' and deleted_at is null union all select id, deleted_at from node where not coalesce(kind = 'memory' and subkind = 'idea' and deleted_at is null, false)")
 def m4_soft_delete(spark, sf):
-    """The table after some memories were forgotten; earlier deletions keep their time."""
-    n = nodes(spark, sf, "id", "kind", "deleted_at", "updated_at")
-    return M.latest(n, M.soft_delete(n, (F.col("kind") == "memory") & (F.col("id") % 5 == 0), NOW)).select("id", "deleted_at")
+    """The table after all ideas were forgotten; earlier deletions keep their time."""
+    n = nodes(spark, sf, "id", "kind", "subkind", "deleted_at", "updated_at")
+    return M.latest(n, M.soft_delete(n, (F.col("kind") == "memory") & (F.col("subkind") == "idea"), NOW)).select("id", "deleted_at")
 
 
-@query(f"""select id, coalesce(superseded_by, case when kind = 'memory' and not pinned and id % 9 = 0 and superseded_by is null then id + 1 end) as superseded_by from node""")
+@query(f"""select id, coalesce(superseded_by, case when kind = 'memory' and not pinned and superseded_by is null then id + 1 end) as superseded_by from node""")
 def m5_supersede(spark, sf):
     n = nodes(spark, sf, "id", "kind", "pinned", "superseded_by", "updated_at")
-    pairs = n.filter("kind = 'memory' and id % 9 = 0 and superseded_by is null").select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
+    pairs = n.filter("kind = 'memory' and superseded_by is null").select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
     return M.latest(n, M.supersede(n, pairs, NOW)).select("id", "superseded_by")
 
 
-@query("select id, body || ' edited' as body, substr(body, 1, 0) as nothing from node where kind = 'annotation' and id % 4 = 0 and body is not null union all select id, body, case when body is not null then '' end from node where not (kind = 'annotation' and id % 4 = 0 and body is not null)")
+@query("select id, body || ' edited' as body, substr(body, 1, 0) as nothing from node where kind = 'annotation' and body is not null union all select id, body, case when body is not null then '' end from node where not (kind = 'annotation' and body is not null)")
 def m3_edit(spark, sf):
     n = nodes(spark, sf, "id", "kind", "title", "body", "meta", "content_hash", "updated_at")
-    new, _ = M.edit(n, n.filter("kind = 'annotation' and id % 4 = 0 and body is not null").select("id", F.concat("body", F.lit(" edited")).alias("new_body")), NOW)
+    new, _ = M.edit(n, n.filter("kind = 'annotation' and body is not null").select("id", F.concat("body", F.lit(" edited")).alias("new_body")), NOW)
     return M.latest(n, new).select("id", "body", F.when(F.col("body").isNotNull(), "").alias("nothing"))
 
 
@@ -245,10 +245,10 @@ def m2_remember(spark, sf):
     return M.remember(nodes(spark, sf, "kind", "body", "deleted_at"), items)
 
 
-@query(f"select id, '{{\"stage\":\"done\"}}' as stage from node where kind = 'memory' and id % 10 = 0")
+@query(f"select id, '{{\"stage\":\"done\"}}' as stage from node where kind = 'memory'")
 def m7_meta_set(spark, sf):
-    """A key set in the meta of some memories, and what it reads as alone."""
-    n = nodes(spark, sf, "id", "kind", "meta").filter("kind = 'memory' and id % 10 = 0")
+    """A key set in the meta of all memories, and what it reads as alone."""
+    n = nodes(spark, sf, "id", "kind", "meta").filter("kind = 'memory'")
     stage = P.meta("stage", "m")
     return n.select("id", X.meta_set("meta", "stage", F.lit("done")).alias("m")).select("id", F.to_json(F.struct(stage.alias("stage"))).alias("stage"))
 

@@ -172,8 +172,7 @@ def r24_brief(spark, sf):
 @query()
 def t10_brief_filled(spark, sf):
     """What fits into the brief's budget of 150 tokens, in order."""
-    top = brief(spark, sf).orderBy(F.desc("score"), F.desc("updated_at"), "id").limit(200).collect()
-    got = S.fill_budget([(r["id"], r["tokens"]) for r in top], 150)
+    got = S.fill_budget(brief(spark, sf), 150)
     return spark.createDataFrame([(i, k) for k, i in enumerate(got)], "id long, place int")
 
 
@@ -308,14 +307,14 @@ def y1_changes_since(spark, sf):
     return Y.changes_since(nodes(spark, sf, "id", "kind", "updated_at", "deleted_at").filter("kind = 'memory'"), 1_740_000_000).select("id", Y.activity().alias("activity"))
 
 
-@query(f"""with l as (select {_R}, 0 as incoming from node where kind = 'memory' and (id % 2 = 0 or id % 3 = 0)),
-  r as (select id, uid, updated_at + (id % 5 - 2) * 60 as updated_at, case when id % 11 = 0 then updated_at end as deleted_at, 9.0 as strength, 0 as access_count, 1 as incoming from node where kind = 'memory' and id % 7 <> 0),
+@query(f"""with l as (select {_R}, 0 as incoming from node where kind = 'memory' and (project_id is null or project_id <> 7)),
+  r as (select id, uid, updated_at + (id % 5 - 2) * 60 as updated_at, case when id % 11 = 0 then updated_at end as deleted_at, 9.0 as strength, 0 as access_count, 1 as incoming from node where kind = 'memory' and project_id is not null),
   w as (select *, row_number() over (partition by uid order by greatest(updated_at, coalesce(deleted_at, 0)) desc, deleted_at is not null desc, incoming, id) as k from (select * from l union all select * from r))
   select w.uid, w.updated_at, w.deleted_at, w.incoming::int as incoming, round(coalesce(l.strength, w.strength), 6) as strength from w left join l using (uid) where k = 1""")
 def y2_apply_lww(spark, sf):
-    m = nodes(spark, sf, "id", "uid", "kind", "updated_at", "deleted_at", "strength", "access_count").filter("kind = 'memory'").drop("kind")
-    local = m.filter("id % 2 = 0 or id % 3 = 0")
-    other = m.filter("id % 7 <> 0").select(
+    m = nodes(spark, sf, "id", "uid", "kind", "project_id", "updated_at", "deleted_at", "strength", "access_count").filter("kind = 'memory'").drop("kind")
+    local = m.filter("project_id is null or project_id <> 7").drop("project_id")
+    other = m.filter("project_id is not null").select(
         "id", "uid", (F.col("updated_at") + (F.col("id") % 5 - 2) * 60).alias("updated_at"), F.when(F.col("id") % 11 == 0, F.col("updated_at")).alias("deleted_at"),
         F.lit(9.0).alias("strength"), F.lit(0).cast("long").alias("access_count"),
     )

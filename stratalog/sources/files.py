@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Lock files that are never indexed, and the greatest size in bytes; fixed values.
-LOCKS = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Gemfile.lock", "composer.lock", "go.sum", "bun.lockb", "uv.lock")
+LOCKS = ("cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "poetry.lock", "go.sum", "mix.lock", "flake.lock", "pipfile.lock")
 MOST_BYTES = 256 * 1024
 
 
@@ -35,8 +35,8 @@ def ignored(path: str, patterns: list[str]) -> bool:
 def walk(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """path, size, mtime, content of the files to index under a folder."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.element_at(F.split("path", "/"), -1)
-    f = f.filter((F.col("length") <= MOST_BYTES) & ~base.isin(*LOCKS) & (base != ".env") & ~F.col("path").contains("/.git/"))
+    base = F.lower(F.element_at(F.split("path", "/"), -1))
+    f = f.filter((F.col("length") <= MOST_BYTES) & ~base.isin(*LOCKS) & ~(base.startswith(".env") & (base != ".env.example")) & ~F.col("path").contains("/.git/"))
     f = f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
     if ignore:
         skip = F.udf(lambda p: ignored(p.split(root.rstrip("/") + "/", 1)[-1], ignore), "boolean")
@@ -44,8 +44,9 @@ def walk(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     return f
 
 
-# Kinds of thoughts in an export and what they become; fixed values.
-THOUGHTS = {"insight": "insight", "decision": "decision", "gotcha": "gotcha", "idea": "idea", "question": "note", "task": "note", "person_note": "person", "reference": "note"}
+# Kinds of thoughts in an export, and types of notes, and what they become; the rest are notes. Fixed values.
+THOUGHTS = {"observation": "insight", "reference": "note", "idea": "idea", "task": "note", "person_note": "person"}
+NOTE_TYPES = {"feedback": "insight", "user": "person"}
 
 
 def thoughts(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +74,7 @@ def notes(spark: SparkSession, folder: str, index: str = "MEMORY.md") -> DataFra
     front = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
     kind = F.lower(F.regexp_extract(front, r"(?m)^type:\s*(\S+)\s*$", 1))
     body = _strip(F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*\n", ""))
-    return t.select("file", F.when(kind.isin("insight", "decision", "gotcha", "idea", "note", "person", "summary"), kind).otherwise("note").alias("subkind"), body.alias("body"))
+    return t.select("file", F.coalesce(F.create_map(*[F.lit(v) for kv in NOTE_TYPES.items() for v in kv])[kind], F.lit("note")).alias("subkind"), body.alias("body"))
 
 
 def collections(text: str) -> list[tuple[str, str]]:

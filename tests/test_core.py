@@ -108,9 +108,10 @@ def test_strength_fold_is_capped(spark):
     assert ledger.fold_strength(ev).first()["strength"] == 10.0
 
 
-def test_sign_test_and_budget():
+def test_sign_test_and_budget(spark):
     assert search.sign_test(0, 0) == 1.0 and abs(search.sign_test(5, 0) - 0.0625) < 1e-12
-    assert search.fill_budget([(1, 100), (2, 80), (3, 40)], 150) == [1, 3]
+    rows = spark.createDataFrame([(1, 3.0, 0, 100), (2, 2.0, 0, 80), (3, 1.0, 5, 40), (4, 1.0, 5, 10), (5, 1.0, 4, 1)], "id long, score double, updated_at long, tokens long")
+    assert search.fill_budget(rows, 150) == [1, 3, 4]
 
 
 def test_chunker_keeps_fences_and_lines():
@@ -126,14 +127,14 @@ def test_ignore_rules_and_collections():
 
 
 def test_thoughts_and_notes(spark, tmp_path):
-    (tmp_path / "t.txt").write_text("1. [3/4/2024] (decision - a, b)\n   use it\n2. [1/2/2023] (odd)\n   body\n   more\n")
+    (tmp_path / "t.txt").write_text("1. [3/4/2024] (observation - a, b)\n   use it\n2. [1/2/2023] (odd)\n   body\n   more\n")
     got = {(r["number"], r["subkind"], tuple(r["tags"]), r["body"]) for r in files.thoughts(spark, str(tmp_path / "t.txt")).collect()}
-    assert got == {(1, "decision", ("a", "b"), "use it"), (2, "note", (), "body\nmore")}
+    assert got == {(1, "insight", ("a", "b"), "use it"), (2, "note", (), "body\nmore")}
     d = tmp_path / "n"
     d.mkdir()
-    (d / "x.md").write_text("---\ntype: gotcha\n---\nhello\n")
+    (d / "x.md").write_text("---\ntype: feedback\n---\nhello\n")
     (d / "MEMORY.md").write_text("index")
-    assert [(r["subkind"], r["body"]) for r in files.notes(spark, str(d)).collect()] == [("gotcha", "hello")]
+    assert [(r["subkind"], r["body"]) for r in files.notes(spark, str(d)).collect()] == [("insight", "hello")]
 
 
 def test_guard_and_triggers(spark):
