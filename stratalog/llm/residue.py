@@ -2,14 +2,16 @@
 
 Three kinds of evidence, each over the whole text:
 
-* Messages. Lines and sentences are routed through a prefix tree of fixed depth:
-  first by their number of words, then by their first words. A word outside the
-  vocabulary of notices becomes a wildcard, so all messages of one wording share
-  one template at a leaf. Each distinct template of the corpus is classified once
-  (error, script, filler, furniture or content) and its verdict goes back to the
-  documents by a join. A document is an error page or a script notice when it has
-  such a message and hardly any word of content beside it: a sentence that quotes
-  a message has other words around it and gets another template.
+* Messages. Each distinct shape of a line or sentence (words outside the vocabulary
+  of notices left open) is classified once (error, script, filler, furniture or
+  content) and its verdict goes back to the documents by a join. Messages that have
+  a cue but words of their own too are mined over the corpus: routed through a
+  prefix tree of fixed depth (number of words, then first words), merged with the
+  similar ones of their leaf, the positions that vary made wildcards. A template
+  that enough different texts have, and that nearly always stands alone in them, is
+  a message whatever its words; a sentence that quotes a message or tells of it
+  stands among others. A document is an error page or a script notice when it has
+  such a message and hardly any word of content beside it.
 * Unresolved slots: placeholders left standing in prose. Code, fenced or inline,
   shows placeholders on purpose and is taken out first.
 * Filler: paragraphs of mock Latin or of one short unit repeated over and over.
@@ -108,6 +110,7 @@ _inline = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _tag = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|div|span|noscript|br|hr|center|a|b|i|ul|li)\b[^<>]*>", re.I)
 _cut = re.compile(r"(?<=[.!?…])\s+|\s*[\r\n]+\s*|\s+[-–—|·]\s+")
 _word = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_script, _error, _fill = (re.compile("|".join(f"(?:{c})" for c in x)) for x in (SCRIPT_CUES, ERROR_CUES, FILLER_CUES))
 _para = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+")
 
 #: Words of content that an error page or a notice may have beside its messages.
@@ -116,28 +119,54 @@ CONTENT_WORDS = 10
 MESSAGE_WORDS = 40
 #: Depth of the prefix tree below the number of words.
 DEPTH = 3
+#: Share of the positions in which a message agrees with a template of its leaf to be merged with it.
+ALIKE = 0.6
+#: Different texts that have a mined template, and the share of them in which it stands alone.
+TEXTS = 5
+ALONE = 0.9
 
 
 def _shape(words: list[str]) -> list[str]:
     return ["#" if w.isdigit() else w if w in KNOWN else "*" for w in words]
 
 
-class TemplateTree:
-    """Number of words, then the first words, then a leaf of templates."""
-
-    def __init__(self, depth: int = DEPTH):
-        self.depth, self.root = depth, {}
-
-    def add(self, shape: list[str]) -> str:
-        node = self.root.setdefault(len(shape), {})
-        for w in shape[: self.depth]:
-            node = node.setdefault(w, {})
-        leaf = node.setdefault(None, {})
-        rest = tuple(shape[self.depth :])
-        t = leaf.get(rest)
-        if t is None:
-            t = leaf[rest] = " ".join(shape)
-        return t
+def cue(text: str) -> str | None:
+    """What a wording is about by its cues: 'script', 'error' or nothing."""
+    return "script" if _script.search(text) else "error" if _error.search(text) else None
+
+
+def leaf(message: str) -> str:
+    """Where the prefix tree keeps a message: number of words, then the first ones."""
+    words = message.split(" ")
+    return " ".join([str(len(words)), *_shape(words[:DEPTH])])
+
+
+def merge(messages: list[str]) -> list[str]:
+    """The template of each message of a leaf. All have the same number of words; a message
+    joins the template that agrees with it in most positions, and those that differ become wildcards."""
+    templates: list[list[str]] = []
+    own = []
+    for m in messages:
+        words = m.split(" ")
+        best, most = -1, ALIKE * len(words)
+        for k, t in enumerate(templates):
+            same = sum(map(str.__eq__, t, words))
+            if same > most or same == most and best < 0:
+                best, most = k, same
+        if best < 0:
+            templates.append(words)
+            best = len(templates) - 1
+        else:
+            templates[best] = [x if x == y else "*" for x, y in zip(templates[best], words)]
+        own.append(best)
+    return [" ".join(templates[k]) for k in own]
+
+
+def mined(template: str) -> str | None:
+    """Verdict of a mined template: its cue, if it is in what does not vary and little varies."""
+    words = template.split(" ")
+    open_ = words.count("*")
+    return cue(" ".join(w for w in words if w != "*")) if open_ <= 3 and 2 * open_ <= len(words) else None
 
 
 def classify(template: str) -> str:
@@ -150,10 +179,7 @@ def classify(template: str) -> str:
     if unknown == 0 and any(re.search(c, template) for c in FILLER_CUES):
         return "filler"
     if unknown <= 3 and 2 * unknown <= len(words):
-        if any(re.search(c, text) for c in SCRIPT_CUES):
-            return "script"
-        if any(re.search(c, text) for c in ERROR_CUES):
-            return "error"
+        return cue(text) or "content"
     return "content"
 
 
@@ -189,8 +215,9 @@ def prose(text: str) -> str:
     return text
 
 
-def evidence(text: str, tree: TemplateTree) -> tuple[bool, bool, list[tuple[str, int]], int]:
-    """(slots, filler, templates of possible messages with their words of content, other words of content)."""
+def evidence(text: str) -> tuple[bool, bool, list[tuple[str, int, str | None]], int]:
+    """(slots, filler, shapes of possible messages with their words of content and, where a cue
+    stands among words of its own, the message itself, other words of content)."""
     coded = "`" in text or "~~~" in text
     plain = prose(text)
     slot = SLOTS.search(plain) is not None
@@ -208,29 +235,32 @@ def evidence(text: str, tree: TemplateTree) -> tuple[bool, bool, list[tuple[str,
             rest += len(words)
             continue
         shape = _shape(words)
-        found.append((tree.add(shape), sum(w == "*" for w in shape) or 1))
+        n, message = shape.count("*"), None
+        if n and not CUES.isdisjoint(words):
+            message = " ".join("#" if w.isdigit() else w for w in words)
+            message = message if cue(message) else None
+        found.append((" ".join(shape), n or 1, message))
     return slot, mock, found, rest
 
 
-EVIDENCE = "doc_id bigint, template string, words int, slot boolean, filler boolean"
+EVIDENCE = "doc_id bigint, text bigint, template string, message string, words int, slot boolean, filler boolean"
 
 
 def _collect(frames):
-    tree = TemplateTree()
     for f in frames:
         out = []
-        for doc, text in f.itertuples(index=False):
+        for doc, text, key in f.itertuples(index=False):
             if not text or not text.strip():
                 continue
-            slot, mock, found, rest = evidence(text, tree)
+            slot, mock, found, rest = evidence(text)
             if slot or mock or rest:
-                out.append((doc, None, rest, slot, mock))
-            # documents with much content can only be cases by slots or filler
+                out.append((doc, key, None, None, rest, slot, mock))
+            # documents with much content can only be cases by slots or filler, but show where a message stands
             few = rest <= CONTENT_WORDS
-            for t, n in found:
-                if few or any(re.search(c, t) for c in FILLER_CUES):
-                    out.append((doc, t, n, False, False))
-        yield pd.DataFrame(out, columns=["doc_id", "template", "words", "slot", "filler"])
+            for t, n, message in found:
+                if few or message or _fill.search(t):
+                    out.append((doc, key, t, message, n, False, False))
+        yield pd.DataFrame(out, columns=["doc_id", "text", "template", "message", "words", "slot", "filler"])
 
 
 def _verdicts(frames):
@@ -238,15 +268,46 @@ def _verdicts(frames):
         yield pd.DataFrame({"template": f["template"], "verdict": [classify(t) for t in f["template"]]})
 
 
+def _merged(f: pd.DataFrame) -> pd.DataFrame:
+    f = f.sort_values(["n", "message"], ascending=[False, True])
+    return pd.DataFrame({"message": f["message"], "mined": merge(f["message"].tolist())})
+
+
+def _mined(frames):
+    for f in frames:
+        yield pd.DataFrame({"mined": f["mined"], "verdict": [mined(t) for t in f["mined"]]})
+
+
+def mine(parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Messages that the corpus shows to be such: message, own ('error' or 'script')."""
+    content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
+    open_ = parts.filter("message is not null and verdict = 'content'").groupBy("doc_id", "message").agg(F.min("text").alias("text"), F.sum("words").alias("own"))
+    open_ = scratch.keep(open_, "messages")
+    per = parts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(content).alias("content"))
+    at = open_.join(per, "doc_id").select("message", "text", (F.col("content") - F.col("own") <= CONTENT_WORDS).alias("alone"))
+    counts = open_.groupBy("message").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("leaf", F.pandas_udf(lambda m: m.map(leaf), "string")("message"))
+    merged = scratch.keep(counts.groupBy("leaf").applyInPandas(_merged, "message string, mined string"), "merged")
+    # copies of a text count once
+    per_text = at.join(merged, "message").groupBy("mined", "text").agg(F.max("alone").cast("int").alias("alone"))
+    support = per_text.groupBy("mined").agg(F.count("*").alias("texts"), F.avg("alone").alias("alone"))
+    good = support.filter((F.col("texts") >= TEXTS) & (F.col("alone") >= ALONE)).select("mined").mapInPandas(_mined, "mined string, verdict string")
+    return merged.join(good.filter("verdict is not null"), "mined").select("message", F.col("verdict").alias("own"))
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that are residue: doc_id, reason ('slot', 'filler', 'error' or 'script')."""
-    spark = docs.sparkSession
-    ev = Scratch(spark, "residue").keep(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(_collect, EVIDENCE), "evidence")
+    scratch = Scratch(docs.sparkSession, "residue")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    ev = scratch.keep(rows.mapInPandas(_collect, EVIDENCE), "evidence")
     templates = ev.filter("template is not null").select("template").distinct()
     verdicts = templates.mapInPandas(_verdicts, "template string, verdict string")
-    parts = ev.join(verdicts, "template", "left")
-    content = F.when(F.coalesce("verdict", F.lit("content")) == "content", F.col("words")).otherwise(0)
-    has = lambda v: F.max(F.coalesce(F.col("verdict") == v, F.lit(False)))
+    parts = ev.join(verdicts, "template", "left").withColumn("verdict", F.coalesce("verdict", F.lit("content")))
+    parts = scratch.keep(parts.drop("template"), "parts")
+    parts = parts.join(mine(parts, scratch), "message", "left")
+    parts = parts.withColumn("verdict", F.when(F.col("verdict") == "content", F.coalesce("own", "verdict")).otherwise(F.col("verdict")))
+    content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
+    has = lambda v: F.max(F.col("verdict") == v)
     per = parts.groupBy("doc_id").agg(
         F.sum(content).alias("content"), F.max("slot").alias("slot"), (F.max("filler") | has("filler")).alias("filler"),
         has("error").alias("error"), has("script").alias("script"),

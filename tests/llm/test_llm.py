@@ -272,3 +272,17 @@ def test_residue_cases(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, CASES[0])], "doc_id long, text string")
     assert {r["doc_id"] for r in residue.judge(df).collect()} == set(range(len(CASES)))
     assert residue.judge(df.limit(0)).count() == 0
+
+
+def test_messages_are_mined_from_the_corpus(spark):
+    """Wordings that no list has: nearly always alone in different texts, so messages; told of among other words, so not."""
+    places = "larch birch alder rowan aspen maple".split()
+    notice = "Regrettably the reading lounge {} stays shuttered because scripts were switched off nearby"
+    told = "Yesterday the curious gardener {} noticed that scripts were switched off nearby"
+    much = " Among tall trees many small birds build soft nests every single spring, and nobody disturbs them there."
+    texts = [notice.format(p) for p in places] + [told.format(p) + ("." + much if i else "") for i, p in enumerate(places)]
+    # copies of one text are no support
+    texts += ["Mostly the patient baker grumbles whenever scripts were switched off nearby"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.judge(df).collect()} == set(range(len(places)))
+    assert residue.merge(["a b c d e", "a b x d e", "p q r s t"]) == ["a b * d e", "a b * d e", "p q r s t"]
