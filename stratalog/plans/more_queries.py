@@ -346,6 +346,14 @@ def g9_imports(spark, sf):
     return i.groupBy("module").agg(F.countDistinct("file_id").alias("files"))
 
 
+@query()
+def g9_import_resolution(spark, sf):
+    """Every import of the four languages and the file it leads to, null if none."""
+    from stratalog.operators.imports import resolve
+
+    return resolve(load(spark, sf, "source_file"))
+
+
 @query("select machine, max(greatest(updated_at, coalesce(deleted_at, 0))) as newest, greatest(0, least(max(greatest(updated_at, coalesce(deleted_at, 0))), 1765000000) - 60) as next_pull from sync_record where updated_at is not null group by 1")
 def y3_cursors(spark, sf):
     """Where the next pull from each peer begins."""

@@ -185,3 +185,48 @@ def test_core_does_not_import_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "stratalog.llm" not in p.read_text()
+
+
+def _led_to(importer, source, files):
+    """Import resolution one import at a time, over the whole set of files."""
+    from stratalog.operators.imports import candidates
+
+    for kind, key in candidates(importer, source):
+        fits = {"exact": lambda f: f == key, "end": lambda f: f.endswith(key), "name": lambda f: f.split("/")[-2:-1] == [key] or f == f"{key}.py"}[kind]
+        if hits := [f for f in files if fits(f)]:
+            return min(hits)
+    return None
+
+
+def test_imports_lead_to_files(spark, sf):
+    from pyspark.sql import functions as F
+
+    from stratalog.operators.imports import resolve
+    from stratalog.tables import load
+
+    rows = [
+        ("src/a/main.rs", "rust", "use crate::b::Item;\nuse crate::deep::{self, er::{Thing as T, Other}, *};\n// use crate::no::X;\nconst S: &str = r#\"use crate::no::Y;\"#;"),
+        ("src/b.rs", "rust", None), ("lib/b.rs", "rust", "pub use super::none::Zip;"), ("src/deep/er.rs", "rust", ""), ("src/deep.rs", "rust", ""),
+        ("pkg/sub/m.py", "python", "import os, pkg.util as u\nfrom . import near\nfrom ..top import (x, y as z)\nfrom .near import *\ns = \"\"\"\nfrom bad import no\n\"\"\""),
+        ("pkg/sub/__init__.py", "python", None), ("pkg/util.py", "python", ""), ("pkg/top/__init__.py", "python", ""), ("broken.py", "python", "def (:\nfrom pkg.util import f\n"),
+        ("web/x.ts", "typescript", "import d, { a as b, type C } from './lib';\nimport * as n from \"../web/y\";\nimport type { T } from 'gopkg';\nconst t = `import q from './y'`;\nimport('./y');"),
+        ("web/lib/index.ts", "typescript", ""), ("web/y.tsx", "typescript", ""), ("web/y.js", "typescript", ""),
+        ("cmd/main.go", "go", 'package main\nimport (\n\t"fmt" // x "no"\n\tg "example.com/gopkg"\n)\nimport . "a/b/cmd"\nvar s = `import "no"`\n'),
+        ("gopkg/b.go", "go", ""), ("gopkg/a.go", "go", ""),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(0, *rows[0])], "file_id long, path string, lang string, content string")
+    got = {(rows[r["file_id"]][0], r["local"], r["source"]): r["target"] for r in resolve(df).collect()}
+    assert got == {
+        ("src/a/main.rs", "Item", "crate::b::Item"): "lib/b.rs", ("src/a/main.rs", "self", "crate::deep::self"): "src/deep.rs", ("src/a/main.rs", "T", "crate::deep::er::Thing"): "src/deep/er.rs",
+        ("src/a/main.rs", "Other", "crate::deep::er::Other"): "src/deep/er.rs", ("lib/b.rs", "Zip", "super::none::Zip"): None,
+        ("pkg/sub/m.py", "os", "os"): None, ("pkg/sub/m.py", "u", "pkg.util"): "pkg/util.py", ("pkg/sub/m.py", "near", "."): "pkg/sub/__init__.py", ("pkg/sub/m.py", "x", "..top"): "pkg/top/__init__.py",
+        ("pkg/sub/m.py", "z", "..top"): "pkg/top/__init__.py", ("broken.py", "f", "pkg.util"): "pkg/util.py",
+        ("web/x.ts", "d", "./lib"): "web/lib/index.ts", ("web/x.ts", "b", "./lib"): "web/lib/index.ts", ("web/x.ts", "C", "./lib"): "web/lib/index.ts", ("web/x.ts", "n", "../web/y"): "web/y.tsx", ("web/x.ts", "T", "gopkg"): "gopkg/a.go",
+        ("cmd/main.go", "fmt", "fmt"): None, ("cmd/main.go", "g", "example.com/gopkg"): "gopkg/a.go", ("cmd/main.go", ".", "a/b/cmd"): "cmd/main.go",
+    }
+    f = load(spark, sf, "source_file")
+    paths = {r["file_id"]: r["path"] for r in f.select("file_id", "path").distinct().collect()}
+    found = resolve(f).collect()
+    assert {r["source"][:1] == "." for r in found} == {True, False}
+    assert all(r["target"] == _led_to(paths[r["file_id"]], r["source"], paths.values()) for r in found)
+    assert {r["file_id"] for r in f.filter(F.col("content").rlike(r"(?m)^use crate::")).collect()} <= {r["file_id"] for r in found}
