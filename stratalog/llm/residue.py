@@ -243,24 +243,24 @@ def evidence(text: str) -> tuple[bool, bool, list[tuple[str, int, str | None]],
     return slot, mock, found, rest
 
 
-EVIDENCE = "doc_id bigint, text bigint, template string, message string, words int, slot boolean, filler boolean"
+EVIDENCE = "doc_id bigint, row bigint, text bigint, template string, message string, words int, slot boolean, filler boolean"
 
 
 def _collect(frames):
     for f in frames:
         out = []
-        for doc, text, key in f.itertuples(index=False):
+        for doc, row, text, key in f.itertuples(index=False):
             if not text or not text.strip():
                 continue
             slot, mock, found, rest = evidence(text)
             if slot or mock or rest:
-                out.append((doc, key, None, None, rest, slot, mock))
+                out.append((doc, row, key, None, None, rest, slot, mock))
             # documents with much content can only be cases by slots or filler, but show where a message stands
             few = rest <= CONTENT_WORDS
             for t, n, message in found:
                 if few or message or _fill.search(t):
-                    out.append((doc, key, t, message, n, False, False))
-        yield pd.DataFrame(out, columns=["doc_id", "text", "template", "message", "words", "slot", "filler"])
+                    out.append((doc, row, key, t, message, n, False, False))
+        yield pd.DataFrame(out, columns=["doc_id", "row", "text", "template", "message", "words", "slot", "filler"])
 
 
 def _verdicts(frames):
@@ -281,10 +281,10 @@ def _mined(frames):
 def mine(parts: DataFrame, scratch: Scratch) -> DataFrame:
     """Messages that the corpus shows to be such: message, own ('error' or 'script')."""
     content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
-    open_ = parts.filter("message is not null and verdict = 'content'").groupBy("doc_id", "message").agg(F.min("text").alias("text"), F.sum("words").alias("own"))
+    open_ = parts.filter("message is not null and verdict = 'content'").groupBy("row", "message").agg(F.min("text").alias("text"), F.sum("words").alias("own"))
     open_ = scratch.keep(open_, "messages")
-    per = parts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(content).alias("content"))
-    at = open_.join(per, "doc_id").select("message", "text", (F.col("content") - F.col("own") <= CONTENT_WORDS).alias("alone"))
+    per = parts.join(open_.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.sum(content).alias("content"))
+    at = open_.join(per, "row").select("message", "text", (F.col("content") - F.col("own") <= CONTENT_WORDS).alias("alone"))
     counts = open_.groupBy("message").agg(F.count("*").alias("n"))
     counts = counts.withColumn("leaf", F.pandas_udf(lambda m: m.map(leaf), "string")("message"))
     merged = scratch.keep(counts.groupBy("leaf").applyInPandas(_merged, "message string, mined string"), "merged")
@@ -298,7 +298,7 @@ def mine(parts: DataFrame, scratch: Scratch) -> DataFrame:
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that are residue: doc_id, reason ('slot', 'filler', 'error' or 'script')."""
     scratch = Scratch(docs.sparkSession, "residue")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     ev = scratch.keep(rows.mapInPandas(_collect, EVIDENCE), "evidence")
     templates = ev.filter("template is not null").select("template").distinct()
     verdicts = templates.mapInPandas(_verdicts, "template string, verdict string")
@@ -308,14 +308,16 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     parts = parts.withColumn("verdict", F.when(F.col("verdict") == "content", F.coalesce("own", "verdict")).otherwise(F.col("verdict")))
     content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
     has = lambda v: F.max(F.col("verdict") == v)
-    per = parts.groupBy("doc_id").agg(
+    per = parts.groupBy("doc_id", "row").agg(
         F.sum(content).alias("content"), F.max("slot").alias("slot"), (F.max("filler") | has("filler")).alias("filler"),
         has("error").alias("error"), has("script").alias("script"),
     )
+    # each row is judged by itself; an id has what any of its rows has
     short = F.col("content") <= CONTENT_WORDS
+    per = per.groupBy("doc_id").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"), F.max(F.col("script") & short).alias("script"), F.max(F.col("error") & short).alias("error"))
     reason = (
         F.when(F.col("slot"), "slot").when(F.col("filler"), "filler")
-        .when(F.col("script") & short, "script").when(F.col("error") & short, "error")
+        .when(F.col("script"), "script").when(F.col("error"), "error")
     )
     return per.select("doc_id", reason.alias("reason")).filter("reason is not null")
 

@@ -286,3 +286,9 @@ def test_messages_are_mined_from_the_corpus(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in residue.judge(df).collect()} == set(range(len(places)))
     assert residue.merge(["a b c d e", "a b x d e", "p q r s t"]) == ["a b * d e", "a b * d e", "p q r s t"]
+
+
+def test_repeated_rows_are_judged_each(spark):
+    text = "Larch Birch Alder Rowan Aspen Maple\n\n404 Not Found"
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (1, text)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in residue.judge(df).collect()) == [(1, "error"), (2, "error")]
