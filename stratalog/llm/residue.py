@@ -11,7 +11,8 @@ Three kinds of evidence, each over the whole text:
   that enough different texts have, and that nearly always stands alone in them, is
   a message whatever its words; a sentence that quotes a message or tells of it
   stands among others. A document is an error page or a script notice when it has
-  such a message and hardly any word of content beside it.
+  such a message and hardly any word of content beside it, or when a notice known
+  word for word is a paragraph of its own, whatever else the text holds.
 * Unresolved slots: placeholders left standing in prose. Code, fenced or inline,
   shows placeholders on purpose and is taken out first.
 * Filler: paragraphs of mock Latin or of one short unit repeated over and over.
@@ -117,6 +118,8 @@ _para = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+")
 CONTENT_WORDS = 10
 #: Messages are short; a longer line is content.
 MESSAGE_WORDS = 40
+#: Stands where code was cut out of a line.
+CODE = "\ufffc"
 #: Depth of the prefix tree below the number of words.
 DEPTH = 3
 #: Share of the positions in which a message agrees with a template of its leaf to be merged with it.
@@ -208,27 +211,60 @@ def filler(text: str) -> bool:
     return False
 
 
-def prose(text: str) -> str:
-    """The text without code."""
-    if "`" in text or "~~~" in text:
-        text = _inline.sub(" ", _fence.sub("\n", text))
-    return text
+def prose(text: str) -> tuple[str, int]:
+    """The text without code, and the words of the code."""
+    if "`" not in text and "~~~" not in text:
+        return text, 0
+    cut = 0
 
+    def out(by: str):
+        def f(m):
+            nonlocal cut
+            cut += len(_word.findall(m.group()))
+            return by
 
-def evidence(text: str) -> tuple[bool, bool, list[tuple[str, int, str | None]], int]:
-    """(slots, filler, shapes of possible messages with their words of content and, where a cue
+        return f
+
+    return _inline.sub(out(f" {CODE} "), _fence.sub(out("\n"), text)), cut
+
+
+def bare(paragraph: str) -> str | None:
+    """The shape of a notice that is a paragraph of its own, known word for word: neither heading, list, quote nor pseudo-heading."""
+    paragraph = paragraph.strip()
+    words = _word.findall(paragraph.lower())
+    if not words or len(words) > MESSAGE_WORDS or CUES.isdisjoint(words) or CODE in paragraph or not (paragraph[0].isalnum() or paragraph[0] in "¡¿"):
+        return None
+    if paragraph[-1] not in ".!…" and len(words) < 4:
+        return None
+    hit = None
+    for seg in _cut.split(paragraph):
+        shape = " ".join(_shape(_word.findall(seg.lower())))
+        kind = classify(shape) if shape else "furniture"
+        if kind == "content" or "*" in shape and kind != "furniture":
+            return None
+        hit = shape if kind in ("error", "script") else hit
+    return hit
+
+
+def evidence(text: str) -> tuple[bool, bool, str | None, list[tuple[str, int, str | None]], int]:
+    """(slots, filler, shape of a notice in a paragraph of its own, shapes of possible messages with their words of content and, where a cue
     stands among words of its own, the message itself, other words of content)."""
-    coded = "`" in text or "~~~" in text
-    plain = prose(text)
+    plain, rest = prose(text)
     slot = SLOTS.search(plain) is not None
     mock = filler(plain)
-    found, rest = [], 2 * CONTENT_WORDS if coded else 0
+    found = []
     if "<" in plain:
         plain = _tag.sub("\n", plain)
+    own, before = None, ""
+    for p in _para.split(plain):
+        # what a colon announces is quoted
+        own = own or (None if before.endswith(":") else bare(p))
+        before = p.rstrip() or before
     for seg in _cut.split(plain):
         if not seg:
             continue
-        words = _word.findall(seg.lower())
+        # code within a line is a word of its own
+        words = _word.findall(seg.lower().replace(CODE, "codecutout") if CODE in seg else seg.lower())
         if not words:
             continue
         if len(words) > MESSAGE_WORDS or (CUES.isdisjoint(words) and not any(w.isdigit() for w in words) and "again" not in words and "to" not in words and len(words) > 4):
@@ -237,13 +273,13 @@ def evidence(text: str) -> tuple[bool, bool, list[tuple[str, int, str | None]],
         shape = _shape(words)
         n, message = shape.count("*"), None
         if n and not CUES.isdisjoint(words):
-            message = " ".join("#" if w.isdigit() else w for w in words)
+            message = " ".join("#" if w.isdigit() else "*" if w == "codecutout" else w for w in words)
             message = message if cue(message) else None
         found.append((" ".join(shape), n or 1, message))
-    return slot, mock, found, rest
+    return slot, mock, own, found, rest
 
 
-EVIDENCE = "doc_id bigint, row bigint, text bigint, template string, message string, words int, slot boolean, filler boolean"
+EVIDENCE = "doc_id bigint, row bigint, text bigint, template string, message string, words int, slot boolean, filler boolean, own boolean"
 
 
 def _collect(frames):
@@ -252,15 +288,17 @@ def _collect(frames):
         for doc, row, text, key in f.itertuples(index=False):
             if not text or not text.strip():
                 continue
-            slot, mock, found, rest = evidence(text)
+            slot, mock, own, found, rest = evidence(text)
             if slot or mock or rest:
-                out.append((doc, row, key, None, None, rest, slot, mock))
-            # documents with much content can only be cases by slots or filler, but show where a message stands
+                out.append((doc, row, key, None, None, rest, slot, mock, False))
+            if own:
+                out.append((doc, row, key, own, None, 0, False, False, True))
+            # other messages make no case of documents with much content, but show where a message stands
             few = rest <= CONTENT_WORDS
             for t, n, message in found:
                 if few or message or _fill.search(t):
-                    out.append((doc, row, key, t, message, n, False, False))
-        yield pd.DataFrame(out, columns=["doc_id", "row", "text", "template", "message", "words", "slot", "filler"])
+                    out.append((doc, row, key, t, message, n, False, False, False))
+        yield pd.DataFrame(out, columns=["doc_id", "row", "text", "template", "message", "words", "slot", "filler", "own"])
 
 
 def _verdicts(frames):
@@ -279,7 +317,7 @@ def _mined(frames):
 
 
 def mine(parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Messages that the corpus shows to be such: message, own ('error' or 'script')."""
+    """Messages that the corpus shows to be such: message, mined ('error' or 'script')."""
     content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
     open_ = parts.filter("message is not null and verdict = 'content'").groupBy("row", "message").agg(F.min("text").alias("text"), F.sum("words").alias("own"))
     open_ = scratch.keep(open_, "messages")
@@ -292,7 +330,7 @@ def mine(parts: DataFrame, scratch: Scratch) -> DataFrame:
     per_text = at.join(merged, "message").groupBy("mined", "text").agg(F.max("alone").cast("int").alias("alone"))
     support = per_text.groupBy("mined").agg(F.count("*").alias("texts"), F.avg("alone").alias("alone"))
     good = support.filter((F.col("texts") >= TEXTS) & (F.col("alone") >= ALONE)).select("mined").mapInPandas(_mined, "mined string, verdict string")
-    return merged.join(good.filter("verdict is not null"), "mined").select("message", F.col("verdict").alias("own"))
+    return merged.join(good.filter("verdict is not null"), "mined").select("message", F.col("verdict").alias("mined"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,15 +343,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     parts = ev.join(verdicts, "template", "left").withColumn("verdict", F.coalesce("verdict", F.lit("content")))
     parts = scratch.keep(parts.drop("template"), "parts")
     parts = parts.join(mine(parts, scratch), "message", "left")
-    parts = parts.withColumn("verdict", F.when(F.col("verdict") == "content", F.coalesce("own", "verdict")).otherwise(F.col("verdict")))
+    parts = parts.withColumn("verdict", F.when(F.col("verdict") == "content", F.coalesce("mined", "verdict")).otherwise(F.col("verdict")))
     content = F.when(F.col("verdict") == "content", F.col("words")).otherwise(0)
     has = lambda v: F.max(F.col("verdict") == v)
     per = parts.groupBy("doc_id", "row").agg(
         F.sum(content).alias("content"), F.max("slot").alias("slot"), (F.max("filler") | has("filler")).alias("filler"),
-        has("error").alias("error"), has("script").alias("script"),
+        has("error").alias("error"), has("script").alias("script"), F.max("own").alias("own"),
     )
     # each row is judged by itself; an id has what any of its rows has
-    short = F.col("content") <= CONTENT_WORDS
+    short = (F.col("content") <= CONTENT_WORDS) | F.col("own")
     per = per.groupBy("doc_id").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"), F.max(F.col("script") & short).alias("script"), F.max(F.col("error") & short).alias("error"))
     reason = (
         F.when(F.col("slot"), "slot").when(F.col("filler"), "filler")

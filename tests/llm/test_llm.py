@@ -292,3 +292,16 @@ def test_repeated_rows_are_judged_each(spark):
     text = "Larch Birch Alder Rowan Aspen Maple\n\n404 Not Found"
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (1, text)], "doc_id long, text string")
     assert sorted(tuple(r) for r in residue.judge(df).collect()) == [(1, "error"), (2, "error")]
+
+
+def test_messages_beside_code_and_content(spark):
+    much = "The larch sheds its needles every autumn, unlike most other conifers, and grows them again in spring when the snow melts."
+    cases = [
+        "502 Bad Gateway\n\nRequest `a1b2c3`", "404 Not Found\n\n```\nat edge\n```", much + "\n\nPlease enable JavaScript to view this page.\n\n" + much, much + "\n\nThe requested file does not exist any more.",
+    ]
+    plain = [
+        "Not found\n\n```\n" + "larch birch alder " * 5 + "\n```", much + " Please enable JavaScript to view this page. " + much, much + "\n\n# 404 Not Found\n\n" + much, much + "\n\nThe page says:\n\nPlease enable JavaScript to view this page.\n\n" + much,
+        much + "\n\n> Please enable JavaScript to view this page.", much + "\n\n```\nPlease enable JavaScript to view this page.\n```\n\n" + much, much + "\n\n404 Not Found\n\n" + much, "`x` `x` `x` `x`",
+    ]
+    df = spark.createDataFrame(list(enumerate(cases + plain)), "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.judge(df).collect()} == set(range(len(cases)))
