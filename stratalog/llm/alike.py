@@ -348,8 +348,8 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
     """(members: id and its class's representative, links between representatives)."""
     spark = nodes.sparkSession
     rows = nodes.filter(F.col("kind").isin(*KINDS) & F.col("body").isNotNull()).select("id", "title", "body")
-    # a word takes a character and a blank
-    rows = rows.filter(F.length("body") + F.coalesce(F.length("title"), F.lit(0)) >= 2 * least - 1)
+    # a word takes a character and a blank; one blank joins title and body
+    rows = rows.filter(F.length("body") + F.coalesce(F.length("title") + 1, F.lit(0)) >= 2 * least - 1)
     sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<bigint>"), "sets")
     members = _members(sets, scratch)
     words = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))

@@ -215,6 +215,12 @@ def test_alike_empty(spark):
     assert alike.pairs_of_groups(member).count() == 0
 
 
+def test_alike_shortest_records_with_a_title(spark):
+    rows = [(1, "memory", "a b c d", "e f g h i j"), (2, "memory", None, "a b c d e f g h i j"), (3, "memory", "", "a b c d e f g h i")]
+    member, _, _ = alike.groups(spark.createDataFrame(rows, "id long, kind string, title string, body string"))
+    assert {(r["node_a"], r["node_b"]) for r in alike.pairs_of_groups(member).collect()} == {(1, 2)}
+
+
 # tokens
 
 
