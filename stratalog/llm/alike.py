@@ -25,8 +25,11 @@ the grid, so what is moved grows with the words times the sum of the sides.
 The order of the words comes from counts over all records, in 2^22 buckets of
 word hashes: a table of fixed size. A word's code is the rank of its bucket and
 its place among the bucket's first four words. An unlucky order makes the walk
-longer, never the result smaller. Two words share a code only if 38 bits of
-their hashes are the same, or if they are the fifth word or later of a bucket.
+longer, never the result smaller. Two words share a code if 38 bits of their
+hashes are the same, or if they are the fifth word or later of a bucket. Words in
+common are then counted too high, never too low, and links of which both ends
+have a word of such a bucket are counted again by the words' 64-bit hashes, the
+only thing that stands for a word here.
 
 Defined cases: null or blank bodies, other kinds and records of fewer than
 ``least`` words take no part; a null title counts as empty; repeated ids count
@@ -105,7 +108,7 @@ def _sets(least: int):
             k1, k2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             if len(ids):
                 k1, k2 = np.add.reduceat(flat, off[:-1]), np.add.reduceat(flat * (flat >> np.uint64(7)), off[:-1])
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((flat >> np.uint64(64 - BUCKET_BITS - EXTRA_BITS)).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sizes, pa.int32()), lists], ["id", "k1", "k2", "n", "toks"]
             )
@@ -116,7 +119,7 @@ def _sets(least: int):
 class WordOrder:
     """Codes of words, ascending from the rarest bucket to the most frequent."""
 
-    def __init__(self, buckets: np.ndarray, counts: np.ndarray, extras: list[list[int]]):
+    def __init__(self, buckets: np.ndarray, counts: np.ndarray, extras: list[list[int]], words: np.ndarray):
         self.rank = np.zeros(1 << BUCKET_BITS, np.int32)
         order = np.lexsort((buckets, counts))
         self.rank[buckets[order]] = np.arange(len(order), dtype=np.int32)
@@ -124,8 +127,16 @@ class WordOrder:
         for k, i in enumerate(order.tolist()):
             e = extras[i]
             self.extra[k, : len(e)] = e
+        # buckets with more words than codes
+        self.shared = np.zeros(1 << BUCKET_BITS, bool)
+        self.shared[buckets] = words > np.fromiter(map(len, extras), np.int64, len(extras))
+
+    def unsure(self, h: np.ndarray) -> np.ndarray:
+        """Whether a word may share its code with another."""
+        return self.shared[h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
 
     def codes(self, h: np.ndarray) -> np.ndarray:
+        h = (h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS - EXTRA_BITS)).view(np.int64)
         r = self.rank[h >> EXTRA_BITS]
         place = (self.extra[r] == (h & ((1 << EXTRA_BITS) - 1))[:, None]).argmax(1)
         return PLACES * r.astype(np.int64) + place
@@ -307,8 +318,10 @@ def join_cell(ids: np.ndarray, in_tree: np.ndarray, posted: np.ndarray, code: np
         met = met[(met != a) & (n[met] >= len(w))]
         if not len(met):
             return
-        both = np.bitwise_count(bits[met] & bits[a]) @ ones
         rare = w[bit[w] < 0]
+        # a bit counts once however many words share the code
+        twice = np.count_nonzero((w[1:] == w[:-1]) & (bit[w[1:]] >= 0))
+        both = np.bitwise_count(bits[met] & bits[a]) @ ones + twice
         least = len(w) - misses[k]
         can = both + len(rare) >= least
         met, both = met[can], both[can]
@@ -353,12 +366,13 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
     sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<bigint>"), "sets")
     members = _members(sets, scratch)
     words = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    extra = F.col("t").bitwiseAND(F.lit((1 << EXTRA_BITS) - 1)).cast("int")
-    buckets = words.groupBy(F.shiftrightunsigned("t", EXTRA_BITS).alias("bucket")).agg(
-        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(extra)), 1, PLACES).alias("extras")
+    extra = F.shiftrightunsigned("t", 64 - BUCKET_BITS - EXTRA_BITS).bitwiseAND(F.lit((1 << EXTRA_BITS) - 1)).cast("int")
+    buckets = words.groupBy(F.shiftrightunsigned("t", 64 - BUCKET_BITS).alias("bucket")).agg(
+        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(extra)), 1, PLACES).alias("extras"), F.count("*").alias("words")
     )
     counts = buckets.toArrow()  # 2^22 rows at most
-    order = spark.sparkContext.broadcast(WordOrder(counts["bucket"].to_numpy(), counts["n"].to_numpy(), counts["extras"].to_pylist()))
+    coder = WordOrder(counts["bucket"].to_numpy(), counts["n"].to_numpy(), counts["extras"].to_pylist(), counts["words"].to_numpy())
+    order = spark.sparkContext.broadcast(coder)
     copies = members.filter("id <> rep").select("id")
     if 16 * copies.count() <= COPIES_BYTES:
         copies = F.broadcast(copies)
@@ -369,9 +383,30 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
     schema = "cell int, id bigint, in_tree boolean, posted boolean, codes binary"
     spread = reps.select("id", "toks").mapInArrow(_spread(order, rows, columns), schema)
     links = spread.groupBy("cell").applyInArrow(_join, "a bigint, b bigint").filter("a <> b").distinct()
+    if coder.shared.any():
+        links = sure(scratch.keep(links, "coded"), reps, order, scratch)
     return members, scratch.keep(links, "links")
 
 
+def sure(links: DataFrame, reps: DataFrame, order, scratch: Scratch) -> DataFrame:
+    """The links that hold word for word; only those between records of unsure words are counted again."""
+
+    def unsure(batches):
+        for b in batches:
+            off = b.column("toks").offsets.to_numpy().astype(np.int64)
+            hit = order.value.unsure(b.column("toks").values.to_numpy(zero_copy_only=False)[off[0] : off[-1]])
+            ends = np.concatenate([[0], np.cumsum(hit)])[off - off[0]]
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(np.diff(ends) > 0))], ["id"])
+
+    ids = scratch.keep(reps.select("id", "toks").mapInArrow(unsure, "id bigint").distinct(), "unsure")
+    of = lambda k: reps.join(ids, "id").dropDuplicates(["id"]).select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("toks").alias(f"toks_{k}"))
+    marked = links.join(ids.select(F.col("id").alias("a"), F.lit(True).alias("x")), "a", "left").join(ids.select(F.col("id").alias("b"), F.lit(True).alias("y")), "b", "left")
+    again = marked.filter("x and y").select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    common = F.size(F.array_intersect("toks_a", "toks_b"))
+    held = again.filter(common * SHARE_OF[1] >= F.least("n_a", "n_b") * SHARE_OF[0])
+    return marked.filter("x is null or y is null").select("a", "b").unionAll(held.select("a", "b"))
+
+
 def _members(sets: DataFrame, scratch: Scratch) -> DataFrame:
     key = ["k1", "k2", "n"]
     reps = sets.groupBy(*key).agg(F.min("id").alias("rep"))

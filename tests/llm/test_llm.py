@@ -221,6 +221,29 @@ def test_alike_shortest_records_with_a_title(spark):
     assert {(r["node_a"], r["node_b"]) for r in alike.pairs_of_groups(member).collect()} == {(1, 2)}
 
 
+def test_alike_words_that_share_a_code(spark, monkeypatch):
+    """Hashes that differ only where the code does not see it: no false link, and no true one lost."""
+    import uuid
+
+    from stratalog.session import Scratch
+
+    h = [(k * 0x9E3779B97F4A7C15) % 2**64 for k in range(1, 40)]
+    twin = [v ^ 1 for v in h]
+    sets = [(1, h[:10]), (2, h[:7] + twin[7:10]), (3, h[10:18] + twin[10:18]), (4, h[10:18] + twin[10:16] + h[20:26]), (5, h[:8] + h[30:32])]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    rows = [(i, i, i, len(w), [signed(v) for v in w]) for i, w in sets]
+    at = spark.createDataFrame(rows, "id long, k1 long, k2 long, n int, toks array<bigint>").coalesce(1)
+    scratch = Scratch(spark, f"test-{uuid.uuid4().hex}")
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name: keep(at if name == "sets" else df, name))
+    nodes = spark.createDataFrame([], "id long, kind string, title string, body string")
+    _, links = alike.similarity_links(nodes, scratch)
+    of = {i: set(w) for i, w in sets}
+    want = {(a, b) for a in of for b in of if a < b and 5 * len(of[a] & of[b]) >= 4 * min(len(of[a]), len(of[b]))}
+    assert want == {(1, 5), (3, 4)}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
 # tokens
 
 
