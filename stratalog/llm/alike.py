@@ -1,35 +1,33 @@
 """Near-duplicate records with small edits.
 
-Two records are alike when their words in common are at least four fifths of the
-words of the smaller one; records tied together by likeness form a group. The
-join is exact.
+Two records are alike when the words in both are at least four fifths of the words
+in at least one of them, that is of their union; records tied together by likeness
+form a group. The join is exact.
 
 Prefix-tree join. The words of a record are ordered from the rarest to the most
-frequent. A record of n words may miss m = n - ceil(0.8 n) of them, so of its
-first m + k words at least k are in any record alike. These prefixes form a
-path-compressed tree; records with the same rare words share its upper edges.
-The tree is walked depth first with all partners at a time: a node holds the
-records met by the words on the path to it, each as often as it was met, and is
-made once for all below it by adding the postings of its edge. A partner falls
-out as soon as the path is longer than the misses allowed anywhere below plus
-the words met. What is left at a leaf is compared in full: rare words through
-their postings, frequent ones through bit rows.
-
-Records of the same words are one class and take part once, so a group of exact
-copies, however large, costs one row. Classes are laid out in a grid by id: a
-cell holds the tree of one part and the postings of another. The sides of the
-grid follow the number of words, so that a cell's memory is bounded
-(``TREE_WORDS``, ``POSTING_WORDS``); a class goes to one row and one column of
-the grid, so what is moved grows with the words times the sum of the sides.
-
-The order of the words comes from counts over all records, in 2^22 buckets of
-word hashes: a table of fixed size. A word's code is the rank of its bucket and
-its place among the bucket's first four words. An unlucky order makes the walk
-longer, never the result smaller. Two words share a code if 38 bits of their
-hashes are the same, or if they are the fifth word or later of a bucket. Words in
-common are then counted too high, never too low, and links of which both ends
-have a word of such a bucket are counted again by the words' 64-bit hashes, the
-only thing that stands for a word here.
+frequent. A record of n words may miss m = n - ceil(0.8 n) of them, so its first
+m + k words hold at least k of those in common with any record alike. These
+prefixes form a tree, and the part of it that hangs on one word is a tree of its
+own: the rest of the prefix of every record that has this word among its first
+m + 1. Such trees are independent of each other, so they are what is shuffled, by
+word. A tree is walked breadth first with all partners at a time. A node stands
+for all records below it and holds the partners that met enough of the path to
+it: the words met on a path are counted once for the whole subtree, and a partner
+falls out as soon as it missed more words than the longest allowance below leaves.
+What reaches the end of a path is a candidate, and candidates are compared word
+for word by 64-bit hashes, the only thing that stands for a word here.
+
+The order comes from counts over all records in 2^22 buckets of word hashes, a
+table of fixed size; inside a bucket the hash decides. In a tree words are written
+as 16-bit numbers that keep the order, so two words may look the same; they then
+count as met, which makes a candidate more and never a link less. Words behind the
+last one of a partner's prefix are unknown and count neither way. At most ``REST``
+words of a prefix follow a tree's word, so that very long records stay linear;
+beyond them nothing is pruned.
+
+A word that more than ``HEAVY`` prefixes have is split into a grid of blocks, each
+a tree of its own in another task. Records of the same words are one class and
+take part once, so a group of exact copies, however large, costs one row.
 
 Defined cases: null or blank bodies, other kinds and records of fewer than
 ``least`` words take no part; a null title counts as empty; repeated ids count
@@ -43,7 +41,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.components import components
@@ -51,17 +49,22 @@ from stratalog.session import Scratch
 from stratalog.tables import load
 
 KINDS = ("memory", "chunk", "annotation")
-#: The share of the smaller record's words, as a fraction of whole numbers.
-SHARE_OF, LEAST = (4, 5), 10
-#: Words of the prefix that must be met beyond the misses allowed.
-MET = 4
-BUCKET_BITS, EXTRA_BITS, PLACES = 22, 16, 4
+#: The share of the words of two records that both have, as a fraction of whole numbers.
+(P, Q), LEAST = (4, 5), 10
+#: Words in common that two alike prefixes have at least.
+MET = 3
+#: Bits of a hash that name its bucket, and those kept of the rest.
+BUCKET_BITS, LOW_BITS = 22, 22
+#: Prefixes of a block of one word's tree.
+HEAVY = 4096
+#: Words of a prefix that follow a tree's word.
+REST = 256
+#: Words of a tree's edge: a tree has one level for each so many words.
+EDGE = 4
 #: The class copies are sent to all tasks only up to this number of bytes.
 COPIES_BYTES = 8 << 20
-#: Words of a part whose tree is built, and of one that it is walked against.
-TREE_WORDS, POSTING_WORDS = 6_000_000, 24_000_000
-#: Bit rows of frequent words use this many bytes at most in a task.
-BIT_BYTES = 64 << 20
+#: Rows whose trees are built at a time, and entries walked at a time.
+ROWS, ENTRIES = 200_000, 1_000_000
 #: Members of a group are paired in blocks of this many.
 PAIR_BLOCK = 1024
 #: Pairs that one task writes, about.
@@ -116,295 +119,276 @@ def _sets(least: int):
     return run
 
 
-class WordOrder:
-    """Codes of words, ascending from the rarest bucket to the most frequent."""
-
-    def __init__(self, buckets: np.ndarray, counts: np.ndarray, extras: list[list[int]], words: np.ndarray):
-        self.rank = np.zeros(1 << BUCKET_BITS, np.int32)
-        order = np.lexsort((buckets, counts))
-        self.rank[buckets[order]] = np.arange(len(order), dtype=np.int32)
-        self.extra = np.full((max(1, len(order)), PLACES), -1, np.int32)
-        for k, i in enumerate(order.tolist()):
-            e = extras[i]
-            self.extra[k, : len(e)] = e
-        # buckets with more words than codes
-        self.shared = np.zeros(1 << BUCKET_BITS, bool)
-        self.shared[buckets] = words > np.fromiter(map(len, extras), np.int64, len(extras))
-
-    def unsure(self, h: np.ndarray) -> np.ndarray:
-        """Whether a word may share its code with another."""
-        return self.shared[h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
-
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        h = (h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS - EXTRA_BITS)).view(np.int64)
-        r = self.rank[h >> EXTRA_BITS]
-        place = (self.extra[r] == (h & ((1 << EXTRA_BITS) - 1))[:, None]).argmax(1)
-        return PLACES * r.astype(np.int64) + place
-
-
-#: A difference this large is written as this and what is left of it.
-FAR = 65_535
-
-
-def pack(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending codes of each row as differences of two bytes; returns them and the rows' bounds."""
-    full = np.flatnonzero(np.diff(off) > 0)
-    delta = np.diff(code, prepend=0)
-    delta[off[:-1][full]] = code[off[:-1][full]]
-    far = delta // FAR
-    ends = np.concatenate([[0], np.cumsum(far + 1)])
-    out = np.full(ends[-1], FAR, np.uint16)
-    out[ends[1:] - 1] = delta - far * FAR
-    return out, ends[off]
-
-
-def unpack(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all rows, and the number of each row, from ``n`` packed numbers a row."""
-    if not len(packed):
-        return np.zeros(0, np.uint32), np.zeros(len(n), np.int64)
-    real = packed != FAR
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one after the other."""
+    if not len(n):
+        return np.zeros(0, np.int64)
     ends = np.cumsum(n)
-    code = np.cumsum(packed, dtype=np.uint32)  # wraps around, as the subtraction does
-    before = np.concatenate([np.zeros(1, np.uint32), code])[ends - n]
-    code -= np.repeat(before, n)
-    seen = np.concatenate([[0], np.cumsum(real, dtype=np.int64)])
-    return code[real], seen[ends] - seen[ends - n]
+    return np.arange(ends[-1], dtype=np.int64) + np.repeat(start - (ends - n), n)
+
+
+def _flat(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column(name)
+    off = lists.offsets.to_numpy().astype(np.int64)
+    return off - off[0], lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+
+
+class WordOrder:
+    """The order of words from the rarest bucket to the most frequent, by hash inside a bucket."""
+
+    def __init__(self, counts: np.ndarray):
+        used = np.flatnonzero(counts)
+        used = used[np.argsort(counts[used], kind="stable")]
+        self.rank = np.zeros(len(counts), np.uint32)
+        self.rank[used] = np.arange(len(used), dtype=np.uint32)
+        # 16-bit numbers that keep the order, finer where words are met more often
+        weight = np.cumsum(np.sqrt(counts[used]))
+        self.band = (1 + weight * 65_534 / weight[-1]).astype(np.uint16) if len(used) else np.zeros(0, np.uint16)
+
+    def sort(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Codes of each row's words in ascending order: the rank of the bucket, then bits of the hash."""
+        h = h.view(np.uint64)
+        code = (self.rank[(h >> np.uint64(64 - BUCKET_BITS)).view(np.int64)].astype(np.uint64) << np.uint64(LOW_BITS)) | (
+            (h >> np.uint64(64 - BUCKET_BITS - LOW_BITS)) & np.uint64((1 << LOW_BITS) - 1)
+        )
+        key = np.repeat(np.arange(len(off) - 1, dtype=np.uint64) << np.uint64(BUCKET_BITS + LOW_BITS), np.diff(off)) | code
+        key.sort()
+        return key & np.uint64((1 << (BUCKET_BITS + LOW_BITS)) - 1)
+
+
+def _parts(batches, rows: int = 1 << 18):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def _spread(order, rows: int, columns: int):
+def _tally(keys):
+    """Counts of the numbers below 2^22 that ``keys`` yields per batch, one table a task."""
+
     def run(batches):
-        o: WordOrder = order.value
-        for b in batches:
+        sums = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in _parts(batches):
+            sums += np.bincount(keys(b), minlength=len(sums))
+        hit = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(sums[hit])], ["k", "n"])
+
+    return run
+
+
+def _table(df: DataFrame, keys) -> np.ndarray:
+    """The counts over all tasks: 2^22 numbers at most, whatever the size of the input."""
+    got = df.select("toks").mapInArrow(_tally(keys), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _buckets(batch) -> np.ndarray:
+    return (_flat(batch, "toks")[1].view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+
+
+def _misses(n: np.ndarray) -> np.ndarray:
+    """Words of a record that a record alike may lack."""
+    return n - -(-n * P // Q)
+
+
+def _prefix_ranks(order):
+    def run(batch) -> np.ndarray:
+        off, h = _flat(batch, "toks")
+        code = order.value.sort(h, off)
+        at = _spans(off[:-1], _misses(np.diff(off)) + 1)
+        return (code[at] >> np.uint64(LOW_BITS)).view(np.int64)
+
+    return run
+
+
+def _branches(order, tally):
+    """One row per record and word that may be the first of those in common with another record."""
+
+    def run(batches):
+        for b in _parts(batches, 1 << 13):
+            off, h = _flat(b, "toks")
+            code = order.value.sort(h, off)
+            n = np.diff(off)
+            m = _misses(n)
+            row = np.repeat(np.arange(len(n)), m + 1)
+            at = _spans(off[:-1], m + 1)
+            rank = (code[at] >> np.uint64(LOW_BITS)).view(np.int64)
+            meets = tally.value[rank]
+            keep = np.flatnonzero(meets > 1)
+            row, at, meets = row[keep], at[keep], meets[keep]
             ids = b.column("id").to_numpy(zero_copy_only=False)
-            lists = b.column("toks")
-            off = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-            off -= off[0]
-            row = np.repeat(np.arange(len(ids), dtype=np.int64), np.diff(off))
-            packed, bounds = pack(np.sort((row << 32) | o.codes(flat)) & 0xFFFFFFFF, off)
-            lists = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-            mine = ((ids * 2654435761) >> 9) % (rows * columns)
-            tree, post = mine % rows, mine // rows
-            for r in range(rows):
-                for c in range(columns):
-                    at = np.flatnonzero((tree == r) | (post == c))
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), r * columns + c, np.int32)), pa.array(ids[at]), pa.array(tree[at] == r), pa.array(post[at] == c), lists.take(pa.array(at))],
-                            ["cell", "id", "in_tree", "posted", "codes"],
-                        )
+            # blocks of a heavy word: a record goes to every cell of its row and column
+            blocks = -(-meets // HEAVY)
+            own = ((ids[row] * 2654435761) >> 9) % blocks
+            other = _spans(np.zeros(len(blocks), np.int64), blocks)
+            row, at, own, blocks = (np.repeat(v, blocks) for v in (row, at, own, blocks))
+            cell = np.minimum(own, other) * blocks + np.maximum(own, other)
+            pos = at - off[row]
+            size = np.minimum(m[row] + MET - pos - 1, REST)
+            rest = order.value.band[(code[_spans(at + 1, size)] >> np.uint64(LOW_BITS)).view(np.int64)]
+            ends = np.concatenate([[0], 2 * np.cumsum(size)]).astype(np.int32)
+            rests = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code[at].view(np.int64)), pa.array(cell), pa.array(n[row].astype(np.int32)), pa.array(ids[row]), pa.array(pos.astype(np.int32)), rests],
+                ["word", "cell", "n", "id", "pos", "rest"],
+            )
 
     return run
 
 
-class PrefixTree:
-    """The prefixes of ordered records as a path-compressed tree over sorted sequences."""
-
-    def __init__(self, prefixes: list[np.ndarray], misses: list[int]):
-        keys = [p.astype(">u4").tobytes() for p in prefixes]  # sorts as the sequence does
-        self.order = sorted(range(len(keys)), key=keys.__getitem__)
-        keys = [keys[i] for i in self.order]
-        self.seq = [prefixes[i] for i in self.order]
-        self.miss = [misses[i] for i in self.order]
-        self.lcp = [0, *map(self._common, keys, keys[1:]), 0]
-
-    @staticmethod
-    def _common(a: bytes, b: bytes) -> int:
-        n, most = 0, min(len(a), len(b))
-        while n < most and a[n : n + 4] == b[n : n + 4]:
-            n += 4
-        return n // 4
-
-    def walk(self, postings, leaf) -> None:
-        """Calls ``leaf(record, met)`` for every record with the ids met often enough on its path."""
-        stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.int32))]
-        for k, s in enumerate(self.seq):
-            while stack[-1][0] > self.lcp[k]:
-                stack.pop()
-            depth, met = stack[-1]
-            below = self.lcp[k + 1]
-            if below > depth:
-                # an inner node: its edge is read once for the whole subtree
-                most, j = self.miss[k], k + 1
-                while j < len(self.seq) and self.lcp[j] >= below:
-                    most = max(most, self.miss[j])
-                    j += 1
-                met = self._prune(self._add(met, s[depth:below], postings), below - most)
-                depth = below
-                stack.append((depth, met))
-            met = self._add(met, s[depth:], postings) if len(s) > depth else met
-            leaf(self.order[k], self._prune(met, len(s) - self.miss[k], once=True))
-
-    @staticmethod
-    def _add(met: np.ndarray, edge: np.ndarray, postings) -> np.ndarray:
-        out = np.concatenate([met, *postings(edge.tolist())])
-        out.sort()
-        return out
-
-    @staticmethod
-    def _prune(met: np.ndarray, least: int, once: bool = False) -> np.ndarray:
-        """Keeps the ids met ``least`` times or more, all their occurrences or one."""
-        if least <= 1:
-            return np.unique(met) if once else met
-        if len(met) < least:
-            return met[:0]
-        hit = met[least - 1 :][met[least - 1 :] == met[: len(met) - least + 1]]
-        if once:
-            return hit[np.concatenate([[True], hit[1:] != hit[:-1]])] if len(hit) else hit
-        return met[np.isin(met, hit)]
-
-
-def _chunks(n: np.ndarray, most: int = 2_000_000):
-    """Runs of rows with about ``most`` words."""
-    ends = np.cumsum(n)
+class _Level:
+    """The nodes of all trees at one depth, ordered by their parents."""
+
+    def __init__(self, rows, parent, edge, parents: int, n, best, ends):
+        order = np.lexsort((edge, parent))
+        rows, parent, edge = rows[order], parent[order], edge[order]
+        new = np.concatenate([[True], (parent[1:] != parent[:-1]) | (edge[1:] != edge[:-1])])
+        at = np.flatnonzero(new)
+        self.edge = edge[at].reshape(-1, 1).view(np.uint16)
+        # of the records below a node: the longest allowance, the least size, the first row
+        self.best = np.maximum.reduceat(best[rows], at)
+        self.least = np.minimum.reduceat(n[rows], at)
+        self.first = np.minimum.reduceat(rows, at)
+        self.parent = parent[at]
+        self.children = np.searchsorted(self.parent, np.arange(parents + 1))
+        node = np.cumsum(new) - 1
+        end = ends[rows]
+        self.ending, of = rows[end], node[end]
+        self.ended = np.searchsorted(of, np.arange(len(at) + 1))
+        self.rows, self.node = rows[~end], node[~end]
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+
+def candidates(group: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, off: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that may be alike, from the trees of whole groups.
+
+    Rows are ordered by group, size and id; ``group`` counts from 0, ``flat`` holds
+    the rests of the prefixes between the bounds ``off``.
+    """
+    n, pos, size = n.astype(np.int64), pos.astype(np.int64), np.diff(off)
+    cut = size < _misses(n) + MET - pos - 1
+    last = flat[off[1:] - 1]
+    best = Q * n - (P + Q) * pos
+    depth = -(-size // EDGE)
+    edges = np.zeros(EDGE * depth.sum(), np.uint16)
+    start = np.cumsum(depth) - depth
+    edges[_spans(EDGE * start, size)] = flat
+    edges = edges.view(np.uint64)
+    rows = np.arange(len(n))
+    levels, parent, parents = [], group.astype(np.int64), int(group[-1]) + 1
+    while len(rows):
+        k = len(levels)
+        levels.append(_Level(rows, parent, edges[start[rows] + k], parents, n, best, depth == k + 1))
+        rows, parent, parents = levels[-1].rows, levels[-1].node, len(levels[-1])
+    member = (np.repeat(np.arange(len(n), dtype=np.int64), size) << 16) | flat
+    member.sort()
+    # a node's partners come behind its first row and are not too large
+    top = levels[0]
+    order = (top.parent << 40) + np.minimum(top.best, (1 << 40) - 1)
+    stop = np.searchsorted((group.astype(np.int64) << 40) + P * n, order, "right")
+    many = np.maximum(stop - top.first - 1, 0)
+    found = []
+    done = np.cumsum(many)
     a = 0
-    while a < len(n):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
+    while a < len(many):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + ENTRIES, "right")))
+        found.append(_walk(levels, np.repeat(np.arange(a, b), many[a:b]), _spans(top.first[a:b] + 1, many[a:b]), n, pos, best, last, cut, member))
         a = b
-
-
-def join_cell(ids: np.ndarray, in_tree: np.ndarray, posted: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the records of the tree with all posted ones that are as large or larger."""
-    size_v = int(code.max()) + 1 if len(code) else 1
-    end = np.cumsum(n)
-    start = end - n
-    mine = np.flatnonzero(in_tree)
-    need = np.zeros(size_v, bool)
-    words, prefixes, misses = [], [], []
-    for a in mine.tolist():
-        size = int(n[a])
-        w = code[start[a] : end[a]].copy()
-        m = size - -(-size * SHARE_OF[0] // SHARE_OF[1])
-        words.append(w)
-        prefixes.append(w[: m + MET])
-        misses.append(m)
-        need[w[: m + MET]] = True
-    # the words posted most often go to bit rows, for exact counts at once
-    width = max(1, min(64, BIT_BYTES // (8 * max(1, len(n)))))
-    df = np.bincount(code, minlength=size_v)
-    top = np.argsort(df, kind="stable")[::-1][: 64 * width]
-    bit = np.full(size_v, -1, np.int32)
-    bit[top] = np.arange(len(top), dtype=np.int32)
-    need |= bit < 0
-    bits = np.zeros((len(n), width), np.uint64)
-    keys = []
-    for x, y in _chunks(n):
-        part = code[start[x] : end[y - 1]]
-        owner = np.repeat(np.arange(x, y, dtype=np.int32), n[x:y])
-        b = bit[part]
-        often = np.flatnonzero(b >= 0)
-        cell = owner[often].astype(np.int64) * width + (b[often] >> 6)
-        order = np.argsort(cell, kind="stable")
-        cell, v = cell[order], np.left_shift(np.uint64(1), (b[often] & 63).astype(np.uint64))[order]
-        if len(cell):
-            cut = np.flatnonzero(np.diff(cell, prepend=-1))
-            bits.reshape(-1)[cell[cut]] = np.bitwise_or.reduceat(v, cut)
-        sel = posted[owner] & need[part]
-        keys.append((part[sel].astype(np.int64) << 32) | owner[sel])
-    del code
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    del keys
-    key.sort()
-    post = (key & 0xFFFFFFFF).astype(np.int32)
-    key >>= 32
-    at = np.searchsorted(key, np.arange(size_v + 1)).tolist()
-    del key
-    postings = lambda ts: [post[at[t] : at[t + 1]] for t in ts]
-    from_, to, ones = [], [], np.ones(width, np.uint8 if width < 4 else np.uint16)
-
-    def leaf(k: int, met: np.ndarray) -> None:
-        a, w = int(mine[k]), words[k]
-        met = met[(met != a) & (n[met] >= len(w))]
-        if not len(met):
+    x, y = (np.concatenate(v) for v in zip(*found))
+    x, y = ids[x], ids[y]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _walk(levels, node, y, n, pos, best, last, cut, member):
+    """The pairs of rows that come to the end of a path, from pairs of a first node and a partner."""
+    keep = best[y] >= P * levels[0].least[node]
+    node, y = node[keep], y[keep]
+    missed, met = np.zeros(len(y), np.int64), np.ones(len(y), np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k, level in enumerate(levels):
+        if not len(y):
+            break
+        words = level.edge[node]
+        key = (y << 16)[:, None] | words
+        hit = member[np.minimum(np.searchsorted(member, key.ravel()), len(member) - 1)].reshape(key.shape) == key
+        met = met + hit.sum(1)
+        missed = missed + (~hit & (words < last[y][:, None]) & (words > 0)).sum(1)
+        keep = (P + Q) * missed <= level.best[node] - P * n[y]
+        node, y, missed, met = node[keep], y[keep], missed[keep], met[keep]
+        # records that end here
+        many = level.ended[node + 1] - level.ended[node]
+        x = level.ending[_spans(level.ended[node], many)]
+        y_, missed_, met_ = np.repeat(y, many), np.repeat(missed, many), np.repeat(met, many)
+        good = (x < y_) & ((P + Q) * missed_ <= best[x] - P * n[y_]) & (best[y_] >= P * n[x]) & ((met_ >= MET) | cut[x] | cut[y_])
+        out.append((x[good], y_[good]))
+        if k + 1 < len(levels):
+            many = levels[k + 1].children[node + 1] - levels[k + 1].children[node]
+            node = _spans(levels[k + 1].children[node], many)
+            y, missed, met = np.repeat(y, many), np.repeat(missed, many), np.repeat(met, many)
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def _trees(batches):
+    """Candidates of a partition whose rows are ordered by tree, size and id."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(t: pa.Table):
+        word, cell = t["word"].to_numpy(), t["cell"].to_numpy()
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])])
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))
+        t = t.filter(pa.array(np.repeat(size > 1, size))).combine_chunks()
+        if not t.num_rows:
             return
-        rare = w[bit[w] < 0]
-        # a bit counts once however many words share the code
-        twice = np.count_nonzero((w[1:] == w[:-1]) & (bit[w[1:]] >= 0))
-        both = np.bitwise_count(bits[met] & bits[a]) @ ones + twice
-        least = len(w) - misses[k]
-        can = both + len(rare) >= least
-        met, both = met[can], both[can]
-        if len(rare) and len(met):
-            z = np.concatenate(postings(rare.tolist()))
-            z.sort()
-            both = both + np.searchsorted(z, met, "right") - np.searchsorted(z, met, "left")
-        good = met[both >= least]
-        if len(good):
-            from_.append(np.full(len(good), ids[a]))
-            to.append(ids[good])
-
-    PrefixTree(prefixes, misses).walk(postings, leaf)
-    if not from_:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(from_), np.concatenate(to)
-
-
-def _join(table: pa.Table) -> pa.Table:
-    data, sizes = [], []
-    for c in table.column("codes").chunks:
-        if len(c):
-            off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-            sizes.append(np.diff(off) // 2)
-            if off[-1] > off[0]:
-                data.append(np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint16))
-    packed = np.concatenate(data) if data else np.zeros(0, np.uint16)
-    cols = [table.column(k).to_numpy() for k in ("id", "in_tree", "posted")]
-    del table, data
-    code, n = unpack(packed, np.concatenate(sizes).astype(np.int64))
-    del packed
-    a, b = join_cell(*cols, code, n)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        rest = t["rest"].chunk(0)
+        off = np.frombuffer(rest.buffers()[1], np.int32)[rest.offset : rest.offset + len(rest) + 1].astype(np.int64) // 2
+        flat = np.frombuffer(rest.buffers()[2], np.uint16)[off[0] : off[-1]]
+        group = np.repeat(np.arange(np.count_nonzero(size > 1)), size[size > 1])
+        a, b = candidates(group, *(t[k].to_numpy() for k in ("id", "n", "pos")), off - off[0], flat)
+        got = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
+
+    held: list = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) < ROWS:
+            continue
+        t = pa.Table.from_batches(held)
+        word, cell = t["word"].to_numpy(), t["cell"].to_numpy()
+        whole = len(word) - int(np.argmax(((word != word[-1]) | (cell != cell[-1]))[::-1])) if (word[0], cell[0]) != (word[-1], cell[-1]) else 0
+        if whole:
+            yield from pairs(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
 
 
 def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(members: id and its class's representative, links between representatives)."""
-    spark = nodes.sparkSession
+    sc = nodes.sparkSession.sparkContext
     rows = nodes.filter(F.col("kind").isin(*KINDS) & F.col("body").isNotNull()).select("id", "title", "body")
     # a word takes a character and a blank; one blank joins title and body
     rows = rows.filter(F.length("body") + F.coalesce(F.length("title") + 1, F.lit(0)) >= 2 * least - 1)
     sets = scratch.keep(rows.mapInArrow(_sets(least), "id bigint, k1 bigint, k2 bigint, n int, toks array<bigint>"), "sets")
     members = _members(sets, scratch)
-    words = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    extra = F.shiftrightunsigned("t", 64 - BUCKET_BITS - EXTRA_BITS).bitwiseAND(F.lit((1 << EXTRA_BITS) - 1)).cast("int")
-    buckets = words.groupBy(F.shiftrightunsigned("t", 64 - BUCKET_BITS).alias("bucket")).agg(
-        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(extra)), 1, PLACES).alias("extras"), F.count("*").alias("words")
-    )
-    counts = buckets.toArrow()  # 2^22 rows at most
-    coder = WordOrder(counts["bucket"].to_numpy(), counts["n"].to_numpy(), counts["extras"].to_pylist(), counts["words"].to_numpy())
-    order = spark.sparkContext.broadcast(coder)
     copies = members.filter("id <> rep").select("id")
     if 16 * copies.count() <= COPIES_BYTES:
         copies = F.broadcast(copies)
     # a repeated row of the table is a repeated id: one of its sets is enough
-    reps = sets.join(copies, "id", "left_anti")
-    words = sets.agg(F.sum("n")).first()[0] or 0
-    rows, columns = max(1, -(-words // TREE_WORDS)), max(1, -(-words // POSTING_WORDS))
-    schema = "cell int, id bigint, in_tree boolean, posted boolean, codes binary"
-    spread = reps.select("id", "toks").mapInArrow(_spread(order, rows, columns), schema)
-    links = spread.groupBy("cell").applyInArrow(_join, "a bigint, b bigint").filter("a <> b").distinct()
-    if coder.shared.any():
-        links = sure(scratch.keep(links, "coded"), reps, order, scratch)
-    return members, scratch.keep(links, "links")
-
-
-def sure(links: DataFrame, reps: DataFrame, order, scratch: Scratch) -> DataFrame:
-    """The links that hold word for word; only those between records of unsure words are counted again."""
-
-    def unsure(batches):
-        for b in batches:
-            off = b.column("toks").offsets.to_numpy().astype(np.int64)
-            hit = order.value.unsure(b.column("toks").values.to_numpy(zero_copy_only=False)[off[0] : off[-1]])
-            ends = np.concatenate([[0], np.cumsum(hit)])[off - off[0]]
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(np.diff(ends) > 0))], ["id"])
-
-    ids = scratch.keep(reps.select("id", "toks").mapInArrow(unsure, "id bigint").distinct(), "unsure")
-    of = lambda k: reps.join(ids, "id").dropDuplicates(["id"]).select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("toks").alias(f"toks_{k}"))
-    marked = links.join(ids.select(F.col("id").alias("a"), F.lit(True).alias("x")), "a", "left").join(ids.select(F.col("id").alias("b"), F.lit(True).alias("y")), "b", "left")
-    again = marked.filter("x and y").select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("toks_a", "toks_b"))
-    held = again.filter(common * SHARE_OF[1] >= F.least("n_a", "n_b") * SHARE_OF[0])
-    return marked.filter("x is null or y is null").select("a", "b").unionAll(held.select("a", "b"))
+    reps = sets.join(copies, "id", "left_anti").select("id", "n", "toks")
+    order = sc.broadcast(WordOrder(_table(reps, _buckets)))
+    tally = sc.broadcast(_table(reps, _prefix_ranks(order)).astype(np.int32))
+    branches = reps.mapInArrow(_branches(order, tally), "word bigint, cell bigint, n int, id bigint, pos int, rest binary")
+    trees = branches.repartition("word", "cell").sortWithinPartitions("word", "cell", "n", "id")
+    pairs = scratch.keep(trees.mapInArrow(_trees, "a bigint, b bigint").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    of = scratch.keep(reps.join(ids, "id", "left_semi").dropDuplicates(["id"]), "compared")
+    side = lambda k: of.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("toks").alias(f"toks_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = (P + Q) * F.size(F.array_intersect("toks_a", "toks_b")) >= P * (F.col("n_a") + F.col("n_b"))
+    return members, scratch.keep(both.filter(alike).select("a", "b"), "links")
 
 
 def _members(sets: DataFrame, scratch: Scratch) -> DataFrame:

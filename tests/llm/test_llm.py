@@ -158,16 +158,13 @@ def brute_links(sets):
     for a in sets:
         for b in sets:
             if a < b:
-                both = len(sets[a] & sets[b])
-                if both * 5 >= 4 * min(len(sets[a]), len(sets[b])):
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     out.add((a, b))
     return out
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_alike_against_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(alike, "TREE_WORDS", 900)
-    monkeypatch.setattr(alike, "POSTING_WORDS", 1300)
+def test_alike_against_brute_force(spark, seed):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(150)]
     texts = [rng.sample(vocab, rng.randint(9, 40)) for _ in range(60)]
@@ -198,15 +195,37 @@ def test_alike_against_brute_force(spark, seed, monkeypatch):
     assert {(r["a"], r["b"]) for r in links.collect()} == {(min(p), max(p)) for p in ((reps[a], reps[b]) for a, b in brute_links(sets)) if p[0] != p[1]}
 
 
-def test_alike_packing_round_trip():
-    rng = np.random.default_rng(3)
-    rows = [np.sort(rng.integers(0, 5_000_000, k)) for k in (0, 1, 7, 200, 0, 3)]
-    rows[3][:3] = [65535, 131070, 131071]
-    rows[3].sort()
-    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    packed, bounds = alike.pack(np.concatenate(rows), off)
-    code, n = alike.unpack(packed, np.diff(bounds))
-    assert n.tolist() == [len(r) for r in rows] and code.tolist() == np.concatenate(rows).tolist()
+@pytest.mark.parametrize("seed,heavy,rest,rows,entries", [(1, 4096, 256, 10**6, 10**6), (2, 7, 256, 60, 90), (3, 5, 3, 40, 50), (4, 4096, 1, 10**6, 10**6)])
+def test_alike_trees_against_brute_force(seed, heavy, rest, rows, entries, monkeypatch):
+    """The trees miss no link: in blocks of a heavy word, with cut rests and in small steps."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    for name, v in (("HEAVY", heavy), ("REST", rest), ("ROWS", rows), ("ENTRIES", entries)):
+        monkeypatch.setattr(alike, name, v)
+    rng = random.Random(seed)
+    words = [rng.getrandbits(64) for _ in range(300)]
+    sets = [frozenset(rng.sample(words, rng.choice([10, 12, 25, 60, 150]))) for _ in range(40)]
+    for _ in range(120):
+        s = set(rng.choice(sets))
+        for _ in range(rng.randint(0, 1 + len(s) // 6)):
+            s.discard(rng.choice(sorted(s)))
+        s |= set(rng.sample(words, rng.randint(0, 1 + len(s) // 8)))
+        if len(s) >= 10:
+            sets.append(frozenset(s))
+    sets = dict(enumerate(dict.fromkeys(sets)))
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    batch = pa.RecordBatch.from_arrays([pa.array(list(sets)), pa.array([list(map(signed, s)) for s in sets.values()], pa.list_(pa.int64()))], ["id", "toks"])
+    count = lambda keys: np.bincount(keys(batch), minlength=1 << alike.BUCKET_BITS)
+    order = SimpleNamespace(value=alike.WordOrder(count(alike._buckets)))
+    tally = SimpleNamespace(value=count(alike._prefix_ranks(order)))
+    t = pa.Table.from_batches(alike._branches(order, tally)([batch]))
+    t = t.sort_by([(k, "ascending") for k in ("word", "cell", "n", "id")])
+    got = {(int(a), int(b)) for r in alike._trees(t.to_batches(max_chunksize=17)) for a, b in zip(r["a"].to_numpy(), r["b"].to_numpy())}
+    want = brute_links(sets)
+    assert len(want) > 20 and want <= got
+    assert rest < 256 or len(got) < 6 * len(want)
 
 
 def test_alike_empty(spark):
@@ -215,6 +234,14 @@ def test_alike_empty(spark):
     assert alike.pairs_of_groups(member).count() == 0
 
 
+def test_alike_is_measured_by_the_union(spark):
+    w = [f"w{i}" for i in range(30)]
+    rows = [(1, w[:16]), (2, w[:20]), (3, w[:12] + w[20:24]), (4, w[:13])]
+    member, links, _ = alike.groups(spark.createDataFrame([(i, "memory", None, " ".join(t)) for i, t in rows], "id long, kind string, title string, body string"))
+    # 16 of 20; 13 of 16; but 12 of 20, and 13 of 20 though all of the smaller record
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(1, 2), (1, 4)}
+
+
 def test_alike_shortest_records_with_a_title(spark):
     rows = [(1, "memory", "a b c d", "e f g h i j"), (2, "memory", None, "a b c d e f g h i j"), (3, "memory", "", "a b c d e f g h i")]
     member, _, _ = alike.groups(spark.createDataFrame(rows, "id long, kind string, title string, body string"))
@@ -229,7 +256,7 @@ def test_alike_words_that_share_a_code(spark, monkeypatch):
 
     h = [(k * 0x9E3779B97F4A7C15) % 2**64 for k in range(1, 40)]
     twin = [v ^ 1 for v in h]
-    sets = [(1, h[:10]), (2, h[:7] + twin[7:10]), (3, h[10:18] + twin[10:18]), (4, h[10:18] + twin[10:16] + h[20:26]), (5, h[:8] + h[30:32])]
+    sets = [(1, h[:10]), (2, h[:8] + twin[8:10]), (3, h[10:18] + twin[10:18]), (4, h[10:18] + twin[10:18] + h[20:21]), (5, h[:9] + h[30:31])]
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     rows = [(i, i, i, len(w), [signed(v) for v in w]) for i, w in sets]
     at = spark.createDataFrame(rows, "id long, k1 long, k2 long, n int, toks array<bigint>").coalesce(1)
@@ -239,7 +266,7 @@ def test_alike_words_that_share_a_code(spark, monkeypatch):
     nodes = spark.createDataFrame([], "id long, kind string, title string, body string")
     _, links = alike.similarity_links(nodes, scratch)
     of = {i: set(w) for i, w in sets}
-    want = {(a, b) for a in of for b in of if a < b and 5 * len(of[a] & of[b]) >= 4 * min(len(of[a]), len(of[b]))}
+    want = {(a, b) for a in of for b in of if a < b and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b])}
     assert want == {(1, 5), (3, 4)}
     assert {(r["a"], r["b"]) for r in links.collect()} == want
 
