@@ -14,8 +14,9 @@ word. A tree is walked breadth first with all partners at a time. A node stands
 for all records below it and holds the partners that met enough of the path to
 it: the words met on a path are counted once for the whole subtree, and a partner
 falls out as soon as it missed more words than the longest allowance below leaves.
-What reaches the end of a path is a candidate, and candidates are compared word
-for word by 64-bit hashes, the only thing that stands for a word here.
+What reaches the end of a path is a candidate. Candidates are compared by bit
+sketches, whose differences the sets must have too, and those left word for word
+by 64-bit hashes, the only thing that stands for a word here.
 
 The order comes from counts over all records in 2^22 buckets of word hashes, a
 table of fixed size; inside a bucket the hash decides. In a tree words are written
@@ -61,6 +62,8 @@ HEAVY = 4096
 REST = 256
 #: Words of a tree's edge: a tree has one level for each so many words.
 EDGE = 4
+#: Words of 64 bits of a sketch.
+SKETCH = 8
 #: The class copies are sent to all tasks only up to this number of bytes.
 COPIES_BYTES = 8 << 20
 #: Rows whose trees are built at a time, and entries walked at a time.
@@ -163,28 +166,29 @@ def _parts(batches, rows: int = 1 << 18):
 
 
 def _tally(keys):
-    """Counts of the numbers below 2^22 that ``keys`` yields per batch, one table a task."""
+    """Counts of the numbers below 2^22 that ``keys`` gives for a batch, and of a part of them; one table a task."""
 
     def run(batches):
-        sums = np.zeros(1 << BUCKET_BITS, np.int64)
+        sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for b in _parts(batches):
-            sums += np.bincount(keys(b), minlength=len(sums))
-        hit = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(sums[hit])], ["k", "n"])
+            for s, k in zip(sums, keys(b)):
+                s += np.bincount(k, minlength=len(s))
+        hit = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *map(pa.array, sums[:, hit])], ["k", "n", "part"])
 
     return run
 
 
 def _table(df: DataFrame, keys) -> np.ndarray:
     """The counts over all tasks: 2^22 numbers at most, whatever the size of the input."""
-    got = df.select("toks").mapInArrow(_tally(keys), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    got = df.select("toks").mapInArrow(_tally(keys), "k int, n bigint, part bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("part").alias("part")).toArrow()
+    out = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    out[:, got["k"].to_numpy()] = got["n"].to_numpy(), got["part"].to_numpy()
     return out
 
 
-def _buckets(batch) -> np.ndarray:
-    return (_flat(batch, "toks")[1].view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+def _buckets(batch) -> list[np.ndarray]:
+    return [(_flat(batch, "toks")[1].view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)]
 
 
 def _misses(n: np.ndarray) -> np.ndarray:
@@ -192,12 +196,19 @@ def _misses(n: np.ndarray) -> np.ndarray:
     return n - -(-n * P // Q)
 
 
+def _leads(n: np.ndarray) -> np.ndarray:
+    """Words of a record that one alike and no smaller may lack."""
+    return n * (Q - P) // (P + Q)
+
+
 def _prefix_ranks(order):
-    def run(batch) -> np.ndarray:
+    """Ranks of the words of the prefixes, and of those that a record can share first with a larger one."""
+
+    def run(batch) -> list[np.ndarray]:
         off, h = _flat(batch, "toks")
-        code = order.value.sort(h, off)
-        at = _spans(off[:-1], _misses(np.diff(off)) + 1)
-        return (code[at] >> np.uint64(LOW_BITS)).view(np.int64)
+        rank = (order.value.sort(h, off) >> np.uint64(LOW_BITS)).view(np.int64)
+        n = np.diff(off)
+        return [rank[_spans(off[:-1], f(n) + 1)] for f in (_misses, _leads)]
 
     return run
 
@@ -214,8 +225,10 @@ def _branches(order, tally):
             row = np.repeat(np.arange(len(n)), m + 1)
             at = _spans(off[:-1], m + 1)
             rank = (code[at] >> np.uint64(LOW_BITS)).view(np.int64)
-            meets = tally.value[rank]
-            keep = np.flatnonzero(meets > 1)
+            meets, leads = tally.value[:, rank]
+            # of two records alike the smaller one has their first common word among its leads
+            own = at - off[row] <= _leads(n)[row]
+            keep = np.flatnonzero((meets > 1) & (own | (leads > 0)))
             row, at, meets = row[keep], at[keep], meets[keep]
             ids = b.column("id").to_numpy(zero_copy_only=False)
             # blocks of a heavy word: a record goes to every cell of its row and column
@@ -378,17 +391,43 @@ def similarity_links(nodes: DataFrame, scratch: Scratch, least: int = LEAST) ->
         copies = F.broadcast(copies)
     # a repeated row of the table is a repeated id: one of its sets is enough
     reps = sets.join(copies, "id", "left_anti").select("id", "n", "toks")
-    order = sc.broadcast(WordOrder(_table(reps, _buckets)))
+    order = sc.broadcast(WordOrder(_table(reps, _buckets)[0]))
     tally = sc.broadcast(_table(reps, _prefix_ranks(order)).astype(np.int32))
     branches = reps.mapInArrow(_branches(order, tally), "word bigint, cell bigint, n int, id bigint, pos int, rest binary")
     trees = branches.repartition("word", "cell").sortWithinPartitions("word", "cell", "n", "id")
     pairs = scratch.keep(trees.mapInArrow(_trees, "a bigint, b bigint").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = scratch.keep(reps.join(ids, "id", "left_semi").dropDuplicates(["id"]), "compared")
+    near = scratch.keep(_near(pairs, reps, scratch), "near")
+    of = _only(reps, near)
     side = lambda k: of.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("toks").alias(f"toks_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = near.join(side("a"), "a").join(side("b"), "b")
     alike = (P + Q) * F.size(F.array_intersect("toks_a", "toks_b")) >= P * (F.col("n_a") + F.col("n_b"))
-    return members, scratch.keep(both.filter(alike).select("a", "b"), "links")
+    return members, scratch.keep(both.filter(alike).select("a", "b").distinct(), "links")
+
+
+def _only(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    return reps.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+
+
+def _sketches(batches):
+    """Bits that each word of a set turns over: two sets differ in at least as many words as their sketches in bits."""
+    for b in batches:
+        off, h = _flat(b, "toks")
+        row = np.repeat(np.arange(b.num_rows), np.diff(off))
+        odd = np.bincount(row * 64 * SKETCH + (h.view(np.uint64) % np.uint64(64 * SKETCH)).view(np.int64), minlength=b.num_rows * 64 * SKETCH) & 1
+        bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH)
+        cols = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), *cols], ["id", "n", *(f"s{k}" for k in range(SKETCH))])
+
+
+def _near(pairs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that sketches do not tell apart."""
+    names = [f"s{k}" for k in range(SKETCH)]
+    made = _only(reps, pairs).mapInArrow(_sketches, ", ".join(["id bigint", "n int", *(f"{s} bigint" for s in names)]))
+    made = scratch.keep(made, "sketches")
+    side = lambda k: made.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ["n", *names]))
+    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in names), F.lit(0))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter((P + Q) * differ <= (Q - P) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _members(sets: DataFrame, scratch: Scratch) -> DataFrame:

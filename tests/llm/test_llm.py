@@ -217,15 +217,15 @@ def test_alike_trees_against_brute_force(seed, heavy, rest, rows, entries, monke
     sets = dict(enumerate(dict.fromkeys(sets)))
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     batch = pa.RecordBatch.from_arrays([pa.array(list(sets)), pa.array([list(map(signed, s)) for s in sets.values()], pa.list_(pa.int64()))], ["id", "toks"])
-    count = lambda keys: np.bincount(keys(batch), minlength=1 << alike.BUCKET_BITS)
-    order = SimpleNamespace(value=alike.WordOrder(count(alike._buckets)))
+    count = lambda keys: np.array([np.bincount(k, minlength=1 << alike.BUCKET_BITS) for k in keys(batch)])
+    order = SimpleNamespace(value=alike.WordOrder(count(alike._buckets)[0]))
     tally = SimpleNamespace(value=count(alike._prefix_ranks(order)))
     t = pa.Table.from_batches(alike._branches(order, tally)([batch]))
     t = t.sort_by([(k, "ascending") for k in ("word", "cell", "n", "id")])
     got = {(int(a), int(b)) for r in alike._trees(t.to_batches(max_chunksize=17)) for a, b in zip(r["a"].to_numpy(), r["b"].to_numpy())}
     want = brute_links(sets)
     assert len(want) > 20 and want <= got
-    assert rest < 256 or len(got) < 6 * len(want)
+    assert rest < 256 or len(got) < 20 * len(want)
 
 
 def test_alike_empty(spark):
