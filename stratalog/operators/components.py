@@ -30,7 +30,8 @@ def components(spark, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``edges``: columns a, b of one type. Returns id, component (its least id).
 
     Only ids with an edge appear; self-loops alone give the id itself; repeated
-    and reversed edges count once; no edges give no rows.
+    and reversed edges count once; no edges give no rows. Labels that still change
+    after ``max_rounds`` are an error, never a result.
     """
     s = Scratch(spark, "components")
     cur = s.keep(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
@@ -46,6 +47,8 @@ def components(spark, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         before = tuple(state)
         if i > 1:
             s.drop(f"round_{i - 2}")
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     known = labels.union(roots)

@@ -6,6 +6,8 @@ step to the shared scratch folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,15 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, backwards: bool =
     return seen.filter("distance > 0")
 
 
-def shortest_path(edges: DataFrame, start: int, goal: int, most: int = 50) -> list[int] | None:
-    """Vertices of a shortest path, of several the one with the smallest predecessors; null if there is none."""
+def shortest_path(edges: DataFrame, start: int, goal: int) -> list[int] | None:
+    """Vertices of a shortest path, however long, of several the one with the smallest predecessors; null if there is none."""
     if start == goal:
         return [start]
     spark = edges.sparkSession
     s = Scratch(spark, "path")
     step = s.keep(edges.select("src", "dst").distinct(), "edges")
     frontier = seen = s.keep(spark.createDataFrame([(start, None)], "id long, parent long"), "hop_0")
-    for d in range(1, most + 1):
+    for d in itertools.count(1):  # ends when nothing new is reached
         new = step.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = s.keep(new.join(seen.select("id"), "id", "left_anti"), f"hop_{d}")
         if frontier.isEmpty():
@@ -47,7 +49,6 @@ def shortest_path(edges: DataFrame, start: int, goal: int, most: int = 50) -> li
             while path[-1] != start:
                 path.append(seen.filter(F.col("id") == path[-1]).first()["parent"])
             return path[::-1]
-    return None
 
 
 def hubs(edges: DataFrame, most: int = 10) -> DataFrame:

@@ -1,18 +1,23 @@
 """References to records that do not exist.
 
 A reference is a (table, row, side, key) whose key should name a record of a
-target table. ``direct_orphans`` finds those whose record is missing, deleted
-or later than the reference. ``cascade`` then walks the foreign-key graph: what
-hangs on an orphaned record is orphaned by inheritance, found by semi-joins of
-the remaining rows with the last found ones until none is added.
-
-Only the last found rows (the frontier) are joined in a step, and every step is
-a table in the shared scratch folder. Keys are joined by shuffle; a hub that
-draws a third of all references is split by the adaptive skew join, since the
-target side has one row per key.
+target table. The fixpoint cascade goes down the graph of foreign keys. Level 0
+holds the direct orphans: references whose record is missing, deleted or later
+than the reference. A record with a missing or deleted reference is orphaned, and
+what refers to it is orphaned by inheritance: each further level is a semi-join
+of the remaining links with the records found last, until none is added.
+
+Only the last found records (the frontier) are joined in a level, and every level
+is a table in the shared scratch folder; there are as many as the longest chain of
+inheritance is long. Keys are joined by shuffle; a hub that draws a third of all
+references is split by the adaptive skew join, since the target side has one row
+per key.
 
 Defined cases: a null key is no reference; exact repeats of rows count once;
-an empty target makes every reference missing; an empty source gives no rows.
+an empty target makes every reference missing; an empty source gives no rows; a
+loop of references without an orphan stays untouched, one that hangs on an orphan
+is visited once; a reference that is late is an orphan but hands nothing on, for
+its record exists.
 """
 
 from __future__ import annotations
@@ -69,10 +74,9 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def sync_orphans(edges: DataFrame, records: DataFrame) -> DataFrame:
-    """Uids meet in their one spelling; a uid is gone when its winning change is a tombstone."""
-    refs = sides(
-        edges, "sync_edge", "seq", F.col("received_at"), {"src": clean_uid("src_uid"), "dst": clean_uid("dst_uid")}
-    )
+    """Uids meet in their one spelling; a uid is gone when its winning change is a tombstone. A blank one names no record."""
+    uid = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(clean_uid(c), F.lit("")))
+    refs = sides(edges, "sync_edge", "seq", F.col("received_at"), {"src": uid("src_uid"), "dst": uid("dst_uid")})
     won = sync_changes(records.select("uid", "updated_at", "deleted_at", "feed_id")).select(
         F.col("__key").alias("key"), F.col("__dead").alias("gone")
     )
@@ -85,80 +89,72 @@ def sync_orphans(edges: DataFrame, records: DataFrame) -> DataFrame:
     return direct_orphans(refs, won.join(born, "key"))
 
 
-def blank_uid_orphans(edges: DataFrame) -> DataFrame:
-    """References whose uid is not null but blank: no record can have it."""
+#: The foreign keys that lead to ``node`` or ``project``: table, row's id, time of the row, and per side the column and its target.
+KEYS = (
+    ("edge", "id", "created_at", {"src": ("src", "node"), "dst": ("dst", "node")}),
+    ("node", "id", "created_at", {"parent": ("parent_id", "node"), "superseded_by": ("superseded_by", "node"), "project": ("project_id", "project")}),
+    ("project", "id", "created_at", {"project": ("project_id", "project")}),
+    ("doc_chunk", "chunk_id", None, {"file": ("file_id", "node")}),
+    ("symbol_def", "node_id", None, {"node": ("node_id", "node"), "file": ("file_id", "node")}),
+    ("embedding", "node_id", None, {"node": ("node_id", "node")}),
+)
+
+
+def key_references(spark, sf_dir: str) -> DataFrame:
+    """tbl, period, ref_id, side, space, key, since of every reference to a node or project, exact repeats once."""
     out = None
-    for side in ("src", "dst"):
-        c = F.col(f"{side}_uid")
-        part = edges.filter(c.isNotNull() & clean_uid(f"{side}_uid").isNull()).select(
-            F.lit("sync_edge").alias("tbl"), month_of(F.col("created_at")).alias("period"),
-            F.col("seq").alias("ref_id"), F.lit(side).alias("side"), F.lit("missing").alias("state"),
-        )
+    for tbl, row, at, links in KEYS:
+        one = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(space).alias("space"), F.col(c).alias("key")) for s, (c, space) in links.items()]))
+        since = F.col(at) if at else F.lit(None).cast("long")
+        part = load(spark, sf_dir, tbl).select(F.lit(tbl).alias("tbl"), month_of(since).alias("period"), F.col(row).alias("ref_id"), since.alias("since"), one.alias("r"))
+        part = part.select("tbl", "period", "ref_id", "r.side", "r.space", "r.key", "since").filter("key is not null and ref_id is not null").distinct()
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
+
+
+def key_targets(spark, sf_dir: str) -> DataFrame:
+    """space, key, gone, born of the nodes and projects."""
+    node, project = (node_targets(load(spark, sf_dir, t)).withColumn("space", F.lit(t)) for t in ("node", "project"))
+    return node.unionByName(project)
 
 
-def cascade(spark, nodes: DataFrame, max_steps: int = 100_000) -> DataFrame:
-    """Orphaned nodes: id, how ('direct' or 'inherited') and level.
+def cascade(spark, refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The broken references with how ('direct' or 'inherited') and state.
 
-    A node is a direct orphan when its parent is missing or deleted. Children
-    of orphans inherit. A loop of parents without an orphan stays untouched; one
-    hanging on an orphan is visited once, since found rows leave the rest.
+    ``refs``: tbl, period, ref_id, side, space, key, since; ``targets``: space,
+    key, gone, born. A row (tbl, ref_id) is itself the record (space, key) of the
+    same name. Inherited references hold themselves; their state is 'orphaned'.
     """
     s = Scratch(spark, "cascade")
-    tree = s.keep(nodes.groupBy("id").agg(F.min("parent_id").alias("parent_id"), F.max(F.col("deleted_at").isNotNull()).alias("gone")), "tree")
-    kids = tree.filter("parent_id is not null").select("id", "parent_id")
-    t = tree.select(F.col("id").alias("__k"), F.col("gone"))
-    direct = (
-        kids.join(t, F.col("parent_id") == F.col("__k"), "left")
-        .filter(F.col("__k").isNull() | F.col("gone"))
-        .select("id", F.lit("direct").alias("how"), F.lit(0).alias("level"))
+    t = targets.select(F.col("space").alias("__s"), F.col("key").alias("__k"), "gone", "born")
+    state = (
+        F.when(F.col("__k").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("born") > F.col("since"), "late")
     )
-    found = frontier = s.keep(direct, "found_0")
-    rest = kids
-    for level in range(1, max_steps):
-        hit = (
-            rest.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-            .join(found.select("id"), "id", "left_anti")
-            .select("id", F.lit("inherited").alias("how"), F.lit(level).alias("level"))
-        )
-        frontier = s.keep(hit, f"found_{level}")
-        if frontier.isEmpty():
-            break
+    judged = refs.join(t, (F.col("space") == F.col("__s")) & (F.col("key") == F.col("__k")), "left").withColumn("state", state)
+    judged = s.keep(judged.select("tbl", "period", "ref_id", "side", "space", "key", "state"), "judged")
+    direct = judged.filter("state is not null")
+    record = [F.col("tbl").alias("space"), F.col("ref_id").alias("key")]
+    links = judged.filter("state is null and tbl in ('node', 'project')")
+    found = frontier = s.keep(direct.filter("state <> 'late' and tbl in ('node', 'project')").select(*record).distinct(), "level_0")
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        hit = links.join(frontier, ["space", "key"], "left_semi").select(*record).distinct().join(found, ["space", "key"], "left_anti")
+        frontier = s.keep(hit, f"level_{level}")
         found = found.unionByName(frontier)
-    return found
+    cols = ["tbl", "period", "ref_id", "side"]
+    inherited = judged.filter("state is null").join(found, ["space", "key"], "left_semi")
+    return direct.select(*cols, "state", F.lit("direct").alias("how")).unionByName(inherited.select(*cols, F.lit("orphaned").alias("state"), F.lit("inherited").alias("how")))
 
 
 def orphan_references(spark, sf_dir: str) -> DataFrame:
-    """Every broken reference of both edge tables and of node.parent_id, direct or inherited.
+    """Every broken reference of all tables, direct or inherited: tbl, period, ref_id, side, state, how.
 
-    Columns tbl, period, ref_id, side, state, how. Inherited rows are references
-    that hold themselves but lead to an orphaned node; their state is 'orphaned'.
+    References by uid lead to records that refer to nothing, so they are never inherited.
     """
-    edges, nodes = load(spark, sf_dir, "edge"), load(spark, sf_dir, "node")
     s_edges, records = load(spark, sf_dir, "sync_edge"), load(spark, sf_dir, "sync_record")
-    cols = ["tbl", "period", "ref_id", "side", "state"]
-    slim = nodes.select("id", "parent_id", "deleted_at", "created_at")
-    broken = Scratch(spark, "orphans").keep(
-        edge_orphans(edges, slim).select(*cols)
-        .unionByName(sync_orphans(s_edges, records).select(*cols))
-        .unionByName(blank_uid_orphans(s_edges)),
-        "direct",
-    )
-    direct = broken.withColumn("how", F.lit("direct"))
-    lost = cascade(spark, slim)
-    refs = sides(edges, "edge", "id", F.col("created_at"), {"src": F.col("src"), "dst": F.col("dst")})
-    inherited = (
-        refs.join(lost.select(F.col("id").alias("key")), "key", "left_semi")
-        .join(broken.filter("tbl = 'edge'").select("ref_id", "side"), ["ref_id", "side"], "left_anti")
-        .select("tbl", "period", "ref_id", "side", F.lit("orphaned").alias("state"), F.lit("inherited").alias("how"))
-    )
-    own = slim.select("id", month_of(F.col("created_at")).alias("period")).dropDuplicates(["id"])
-    parents = lost.join(own, "id").select(
-        F.lit("node").alias("tbl"), "period", F.col("id").alias("ref_id"), F.lit("parent").alias("side"),
-        F.when(F.col("how") == "direct", "broken").otherwise("orphaned").alias("state"), "how",
-    )
-    return direct.unionByName(inherited).unionByName(parents)
+    by_uid = sync_orphans(s_edges, records).select("tbl", "period", "ref_id", "side", "state", F.lit("direct").alias("how"))
+    return cascade(spark, key_references(spark, sf_dir), key_targets(spark, sf_dir)).unionByName(by_uid)
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
@@ -167,5 +163,5 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_report(spark, sf_dir: str) -> DataFrame:
-    """Broken references per table and month, direct apart from inherited."""
-    return orphan_references(spark, sf_dir).groupBy("tbl", "period", "state", "how").agg(F.count("*").alias("refs"))
+    """Broken references per table and month (null where rows have no time), direct apart from inherited."""
+    return orphan_references(spark, sf_dir).groupBy("tbl", "side", "period", "state", "how").agg(F.count("*").alias("refs"))

@@ -59,14 +59,27 @@ SQL = {
       from won group by 1""",
     "p2_found": f"with {_P2} select * from found",
     "p2_report": f"""with recursive {_P2},
-      direct as (select c.id from n c left join n p on p.id = c.parent_id where c.parent_id is not null and (p.id is null or p.gone = 1)),
-      lost as (select id from direct union select n.id from lost join n on n.parent_id = lost.id),
-      rows as (select tbl, period, state, 'direct' as how from found
-        union all select 'edge', strftime(make_timestamp(er.created_at * 1000000), '%Y-%m'), 'orphaned', 'inherited' from er
-          where k in (select id from lost) and not exists (select 1 from found f where f.tbl = 'edge' and f.ref_id = er.ref_id and f.side = er.side)
-        union all select 'node', strftime(make_timestamp(n.born * 1000000), '%Y-%m'), case when d.id is null then 'orphaned' else 'broken' end, case when d.id is null then 'inherited' else 'direct' end
-          from lost join n using (id) left join direct d using (id))
-      select tbl, period, state, how, count(*) as refs from rows group by all""",
+      t as (select 'node' as space, id as k, gone, born from n
+        union all select 'project', id, max(case when deleted_at is not null then 1 else 0 end), min(created_at) from project group by id),
+      kr as (select 'edge' as tbl, id as ref_id, 'src' as side, 'node' as space, src as k, created_at as since from edge
+        union select 'edge', id, 'dst', 'node', dst, created_at from edge
+        union select 'node', id, 'parent', 'node', parent_id, created_at from node
+        union select 'node', id, 'superseded_by', 'node', superseded_by, created_at from node
+        union select 'node', id, 'project', 'project', project_id, created_at from node
+        union select 'project', id, 'project', 'project', project_id, created_at from project
+        union select 'doc_chunk', chunk_id, 'file', 'node', file_id, null from doc_chunk
+        union select 'symbol_def', node_id, 'node', 'node', node_id, null from symbol_def
+        union select 'symbol_def', node_id, 'file', 'node', file_id, null from symbol_def
+        union select 'embedding', node_id, 'node', 'node', node_id, null from embedding),
+      j as (select kr.*, strftime(make_timestamp(kr.since * 1000000), '%Y-%m') as period,
+          case when t.k is null then 'missing' when t.gone = 1 then 'deleted' when t.born > kr.since then 'late' end as state
+        from kr left join t on t.space = kr.space and t.k = kr.k where kr.k is not null and kr.ref_id is not null),
+      lost as (select tbl as space, ref_id as k from j where state in ('missing', 'deleted') and tbl in ('node', 'project')
+        union select j.tbl, j.ref_id from lost join j on j.space = lost.space and j.k = lost.k where j.state is null and j.tbl in ('node', 'project')),
+      rows as (select tbl, side, period, state, 'direct' as how from j where state is not null
+        union all select tbl, side, period, 'orphaned', 'inherited' from j where state is null and (space, k) in (select space, k from lost)
+        union all select tbl, side, period, state, 'direct' from found where tbl = 'sync_edge')
+      select tbl, side, period, state, how, count(*) as refs from rows group by all""",
     "p5_paths": f"""with recursive {_WALK} select {_LINK}, id as node_id, (case when loops then -1 else root_id end)::bigint as root_id,
       (case when loops then -1 else depth end)::bigint as depth, case when not loops then list_reverse(path) end as path from ended""",
     "p5_descendants": f"""with recursive {_WALK}, d as (select {_LINK}, depth, list_reverse(path) as path from ended where not loops and depth > 0),

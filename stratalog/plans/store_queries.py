@@ -8,6 +8,7 @@ from stratalog.functions import text as X
 from stratalog.operators import predicates as P
 from stratalog.plans.bindings import DAY, EDGE_SQL, MUTATION_SQL, NOW, edges, nodes, supersede_ledger
 from stratalog.plans.registry import query
+from stratalog.sources.files import CLASSES, classify_path
 from stratalog.tables import load
 
 _META = "case when json_valid(meta) then json_extract_string(meta, '$.{}') end"
@@ -32,24 +33,7 @@ def s6_path_suffix(spark, sf):
     return nodes(spark, sf, "id", "path", "kind", "deleted_at").filter((F.col("kind") == "file") & P.live() & F.col("path").endswith(".rs")).select("id", "path")
 
 
-_CLASSES = [
-    ("code", r"\.(?:rs|ts|mts|cts|tsx|jsx|js|mjs|cjs|py|pyi|go|java|rb|rake|c|cpp|cc|cxx|hpp|hxx|h|cs|csx|kt|kts|swift|php|sql)$"),
-    ("markdown", r"\.(?:md|markdown)$"),
-    ("config", r"\.(?:toml|yaml|yml|json|ini|sh|bash)$|(?:^|/)(?:Dockerfile|Makefile)$|\.env\.example$"),
-    ("prose", r"\.(?:txt|rst)$"),
-]
-
-
-def classify_path(path="path"):
-    """Class of a source by its path; what fits no class is skipped."""
-    out = None
-    for name, shape in _CLASSES:
-        hit = F.col(path).rlike(shape)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("skipped")
-
-
-@query("select class, count(*) as files from (select case " + " ".join(f"when regexp_matches(path, '{p}') then '{n}'" for n, p in _CLASSES) + " else 'skipped' end as class from node where kind = 'file' and path is not null) group by 1")
+@query("select class, count(*) as files from (select case " + " ".join(f"when regexp_matches(path, '{p}') then '{n}'" for n, p in CLASSES) + " else 'skipped' end as class from node where kind = 'file' and path is not null) group by 1")
 def s8_source_classes(spark, sf):
     return nodes(spark, sf, "path", "kind").filter("kind = 'file' and path is not null").groupBy(classify_path().alias("class")).agg(F.count("*").alias("files"))
 

@@ -33,9 +33,12 @@ def build_session(master: str | None = None, app: str = "stratalog", **conf: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is made only where none is set."""
+    """The shared folder of the session. Where none is set, a local one is made in local mode;
+    on a cluster that is an error, for executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"stratalog-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -2,46 +2,73 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Lock files that are never indexed, and the greatest size in bytes; fixed values.
+# Lock files that are never indexed, and the greatest size in bytes of prose and settings; fixed values.
 LOCKS = ("cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "poetry.lock", "go.sum", "mix.lock", "flake.lock", "pipfile.lock")
 MOST_BYTES = 256 * 1024
+# Classes of sources by path, the first that fits; fixed values.
+CLASSES = [
+    ("code", r"\.(?:rs|ts|mts|cts|tsx|jsx|js|mjs|cjs|py|pyi|go|java|rb|rake|c|cpp|cc|cxx|hpp|hxx|h|cs|csx|kt|kts|swift|php|sql)$"),
+    ("markdown", r"\.(?:md|markdown)$"),
+    ("config", r"\.(?:toml|yaml|yml|json|ini|sh|bash)$|(?:^|/)(?:Dockerfile|Makefile)$|\.env\.example$"),
+    ("prose", r"\.(?:txt|rst)$"),
+]
+
+
+def classify_path(path="path"):
+    """Class of a source by its path; what fits no class is skipped."""
+    out = None
+    for name, shape in CLASSES:
+        hit = F.col(path).rlike(shape)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("skipped")
 
 
 def _strip(c) -> F.Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
-def ignored(path: str, patterns: list[str]) -> bool:
-    """Whether the last matching line of an ignore file excludes the path; ``!`` takes back."""
-    out = False
-    for p in patterns:
-        p = p.strip()
-        if not p or p.startswith("#"):
-            continue
-        keep, p = p.startswith("!"), p.lstrip("!")
-        rooted, p = "/" in p.rstrip("/"), p.strip("/")
-        parts = path.split("/")
-        hit = any(fnmatch.fnmatch("/".join(parts[: k + 1]), p) for k in range(len(parts))) if rooted else any(fnmatch.fnmatch(x, p) for x in parts)
-        if hit:
-            out = not keep
-    return out
+def ignore_pattern(line: str) -> tuple[str, bool] | None:
+    """The pattern of a line of an ignore file, and whether it excludes (``!`` takes back); null for comments."""
+    line = line.strip()
+    if not line or line.startswith("#"):
+        return None
+    back, line = line.startswith("!"), line.lstrip("!")
+    rooted, line = "/" in line.rstrip("/"), line.strip("/")
+    out, i = "", 0
+    while i < len(line):
+        c = line[i]
+        if line.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif c == "[" and "]" in line[i + 2 :]:
+            end = line.index("]", i + 2)
+            out, i = out + "[" + re.sub(r"^!", "^", line[i + 1 : end]).replace("\\", "\\\\") + "]", end + 1
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
+    return f"{'^' if rooted else '(?:^|/)'}{out}(?:/|$)", not back
+
+
+def ignored(path, lines: list[str]) -> F.Column:
+    """Whether the last matching line of an ignore file excludes the path, which is relative to the file's folder."""
+    rules = [r for r in map(ignore_pattern, lines) if r]
+    return F.coalesce(*[F.when(F.col(path).rlike(p), F.lit(out)) for p, out in reversed(rules)], F.lit(False))
 
 
 def walk(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path, size, mtime, content of the files to index under a folder."""
+    """path, size, mtime, content of the files to index under a folder. Only prose and settings have a greatest size."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lower(F.element_at(F.split("path", "/"), -1))
-    f = f.filter((F.col("length") <= MOST_BYTES) & ~base.isin(*LOCKS) & ~(base.startswith(".env") & (base != ".env.example")) & ~F.col("path").contains("/.git/"))
-    f = f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
-    if ignore:
-        skip = F.udf(lambda p: ignored(p.split(root.rstrip("/") + "/", 1)[-1], ignore), "boolean")
-        f = f.filter(~skip("path"))
-    return f
+    f = f.filter((classify_path().isin("code", "markdown") | (F.col("length") <= MOST_BYTES)) & ~base.isin(*LOCKS) & ~(base.startswith(".env") & (base != ".env.example")) & ~F.col("path").contains("/.git/"))
+    inside = F.element_at(F.split("path", re.escape(root.rstrip("/") + "/"), 2), -1)
+    f = f.withColumn("__inside", inside)
+    f = f.filter(~ignored("__inside", ignore or []))
+    return f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 # Kinds of thoughts in an export, and types of notes, and what they become; the rest are notes. Fixed values.

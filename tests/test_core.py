@@ -36,8 +36,18 @@ def test_direct_orphans_and_cascade(spark):
         [(1, None, None, 0), (2, 99, None, 0), (3, 2, None, 0), (4, 3, None, 0), (5, 6, None, 0), (6, 5, None, 0), (7, 1, 5, 0), (8, 7, None, 0)],
         "id long, parent_id long, deleted_at long, created_at long",
     )
-    lost = {(r["id"], r["how"], r["level"]) for r in orphans.cascade(spark, nodes).collect()}
-    assert lost == {(2, "direct", 0), (3, "inherited", 1), (4, "inherited", 2), (8, "direct", 0)}
+    refs = nodes.select(F.lit("node").alias("tbl"), F.lit("m").alias("period"), F.col("id").alias("ref_id"), F.lit("parent").alias("side"), F.lit("node").alias("space"), F.col("parent_id").alias("key"), F.col("created_at").alias("since")).filter("key is not null")
+    shape = "tbl string, period string, ref_id long, side string, space string, key long, since long"
+    more = [("edge", "m", 1, "src", "node", 4, 9), ("edge", "m", 1, "dst", "node", 5, 9), ("edge", "m", 2, "src", "node", 5, -9), ("node", "m", 9, "project", "project", 3, 0), ("doc_chunk", None, 4, "file", "node", 9, None)]
+    refs = refs.unionByName(spark.createDataFrame(more, shape))
+    targets = orphans.node_targets(nodes).withColumn("space", F.lit("node"))
+    lost = {(r["tbl"], r["ref_id"], r["side"], r["state"], r["how"]) for r in orphans.cascade(spark, refs, targets).collect()}
+    assert lost == {
+        ("node", 2, "parent", "missing", "direct"), ("node", 3, "parent", "orphaned", "inherited"), ("node", 4, "parent", "orphaned", "inherited"), ("node", 8, "parent", "deleted", "direct"),
+        ("edge", 1, "src", "orphaned", "inherited"), ("edge", 2, "src", "late", "direct"), ("node", 9, "project", "missing", "direct"), ("doc_chunk", 4, "file", "missing", "direct"),
+    }
+    assert orphans.cascade(spark, refs.limit(0), targets).count() == 0
+    assert orphans.cascade(spark, refs, targets.limit(0)).filter("state <> 'missing' or how <> 'direct'").count() == 0
     edges = spark.createDataFrame([(1, 1, 42, 10), (1, 1, 42, 10), (2, 7, None, 10), (3, 1, 3, -5)], "id long, src long, dst long, created_at long")
     got = {(r["ref_id"], r["side"], r["state"]) for r in orphans.edge_orphans(edges, nodes).collect()}
     assert got == {(1, "dst", "missing"), (2, "src", "deleted"), (3, "src", "late"), (3, "dst", "late")}
@@ -87,10 +97,50 @@ def test_components(spark):
     assert components.components(spark, e.limit(0)).count() == 0
 
 
+def test_components_never_stop_halfway(spark):
+    e = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError):
+        components.components(spark, e, max_rounds=1)
+
+
+def test_scratch_is_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from stratalog.session import scratch_root
+
+    with pytest.raises(RuntimeError):
+        scratch_root(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_files_are_walked_whole(spark, tmp_path):
+    from stratalog.sources import files
+
+    for name, size in (("a.py", 300_000), ("b.md", 300_000), ("c.toml", 300_000), ("d.toml", 10), (".env", 5), ("cargo.lock", 5), ("out/e.py", 5), ("src/out/f.py", 5), ("src/g.log", 5), ("src/keep.log", 5)):
+        at = tmp_path / "tree" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x" * size)
+    got = {r["path"].rsplit("/tree/", 1)[1] for r in files.walk(spark, str(tmp_path / "tree"), ["# none", "/out/", "*.log", "!keep.log"]).collect()}
+    assert got == {"a.py", "b.md", "d.toml", "src/out/f.py", "src/keep.log"}
+
+
+def test_strength_of_the_stream_counts_a_day_once():
+    import pandas as pd
+
+    from stratalog.streaming import events
+
+    day = lambda *v: pd.DataFrame(v, columns=["id", "event", "ts"]).assign(ts=lambda f: pd.to_datetime(f["ts"]))
+    s, seen = events.fold(day((1, "opened", "2024-02-29 10:00")), 1.0, set())
+    s, seen = events.fold(day((3, "opened", "2024-03-01 01:00"), (2, "opened", "2024-02-29 23:00"), (4, "shown", "2024-03-02 00:00")), s, seen)
+    assert round(s, 6) == 1.6 and len(seen) == 2
+    assert events.fold(day((5, "opened", "2024-02-29 11:00")), s, seen)[0] == s
+
+
 def test_graph_walks(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], "src long, dst long")
     got = {(r["id"], r["distance"]) for r in graph.reach(e, spark.createDataFrame([(1,)], "id long"), 5).collect()}
     assert got == {(2, 1), (3, 2), (4, 3)}
+    far = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.shortest_path(far, 0, 60) == list(range(61))
     assert graph.shortest_path(e, 1, 4) == [1, 2, 3, 4] and graph.shortest_path(e, 1, 9) is None
 
 
@@ -122,7 +172,10 @@ def test_chunker_keeps_fences_and_lines():
 
 
 def test_ignore_rules_and_collections():
-    assert files.ignored("a/target/x.rs", ["target/", "!keep.rs"]) and not files.ignored("keep.rs", ["*.rs", "!keep.rs"])
+    assert not [
+        r for r in spark.createDataFrame([("a/target/x.rs", True), ("keep.rs", False), ("b/keep.rs", False), ("targets/y", False)], "path string, out boolean")
+        .filter(files.ignored("path", ["target/", "*.rs", "!keep.rs"]) != F.col("out")).collect()
+    ]
     assert files.collections("collections:\n  docs:\n    path: './d'\nother:\n  x:\n    path: y\n") == [("docs", "./d")]
 
 
