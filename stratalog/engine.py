@@ -63,7 +63,7 @@ class Store:
             v = self.table("embedding").filter((F.col("model") == model) & (F.size("vec") == len(vector))).select("node_id", "vec").distinct()
             legs.append(search.leg(search.vector_leg(v, vector).join(keep, "id", "left_semi")))
         page = search.page(search.score(search.rrf(*legs), n, as_of or self.now), limit)
-        return search.match_strength(page, text)
+        return search.match_strength(page, text, legs[0], legs[-1] if vector is not None else None)
 
     def brief(self, project: int | None = None) -> DataFrame:
         n = self.table("node").filter(predicates.briefable() & predicates.scope(project))

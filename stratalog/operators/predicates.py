@@ -34,6 +34,11 @@ def expired(at: int) -> Column:
     return F.coalesce(e <= at, F.lit(False))
 
 
+def visible(at: int, include_retired: bool = False) -> Column:
+    """Whether a hit may be shown: not superseded and not expired, or everything."""
+    return F.lit(True) if include_retired else F.col("superseded_by").isNull() & ~expired(at)
+
+
 def valid_at(at: int) -> Column:
     """True, false, or null where no interval is declared."""
     a, b = meta("valid_from").try_cast("long"), meta("valid_to").try_cast("long")

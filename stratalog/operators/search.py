@@ -32,6 +32,11 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(kept or t))
 
 
+def content_terms(text: str) -> list[str]:
+    """Tokens of a query that carry meaning; there may be none."""
+    return [w for w in query_terms(text) if w not in X.STOPWORDS]
+
+
 def _stems(c) -> Column:
     return stem_udf(X.tokens(c))
 
@@ -134,7 +139,7 @@ def score(fused: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
     prior = F.when(F.col("subkind").isin("gotcha", "decision"), 1.25).otherwise(1.0)
     damp = F.when(F.col("kind").isin("symbol", "codechunk"), ALPHA["code"]).otherwise(1.0)
     s = F.col("rrf") * (1 + ALPHA["strength"] * F.ln(1 + effective_strength(now))) * recency(now) * (1 + ALPHA["prior"] * (prior - 1)) * damp
-    return fused.join(n, "id").select("id", "kind", "title", "body", F.round(s, 8).alias("score"))
+    return fused.join(n, "id").select("id", "kind", "title", "body", "tags_text", F.round(s, 8).alias("score"))
 
 
 def page(scored: DataFrame, limit: int = 8) -> DataFrame:
@@ -144,11 +149,24 @@ def page(scored: DataFrame, limit: int = 8) -> DataFrame:
     return one.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def match_strength(hits: DataFrame, text: str) -> DataFrame:
-    """'strong' where at least two of the query's terms are in the hit, or all when there are fewer."""
-    terms = query_terms(text)
-    both = F.size(F.array_intersect(F.array_distinct(F.concat(X.tokens("title"), X.tokens("body"))), F.array(*[F.lit(t) for t in terms])))
-    return hits.withColumn("overlap", both).withColumn("strength", F.when(F.col("overlap") >= min(2, len(terms)), "strong").otherwise("weak"))
+def match_strength(hits: DataFrame, text: str, words: DataFrame, near: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """``hits`` (kind, title, body, tags_text) with overlap and strength.
+
+    Strong is a symbol the query names, or a hit with two of the query's words (one of a query of one) that both legs
+    (id, rank) have among their first ten. Without a vector leg all words, two at least, must be in it. The rest is weak.
+    """
+    terms = content_terms(text)
+    first = lambda x, c: x.filter(F.col("rank") < top).select("id", F.lit(True).alias(c))
+    h = hits.join(first(words, "__w"), "id", "left")
+    h = h.join(first(near, "__n"), "id", "left") if near is not None else h.withColumn("__n", F.lit(None).cast("boolean"))
+    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    hay = X.tokens(F.concat_ws(" ", X.text_of("title"), X.text_of("body"), X.text_of("tags_text")))
+    both = F.size(F.array_intersect(listed, hay))
+    covers, w, n = F.col("overlap") >= min(2, len(terms)), F.col("__w").isNotNull(), F.col("__n").isNotNull()
+    agrees = w & n if near is not None else w & (F.col("overlap") == len(terms)) & (F.col("overlap") >= 2)
+    named = (F.col("kind") == "symbol") & F.array_contains(listed, F.lower(X.text_of("title")))
+    strong = F.lit(bool(terms)) & (named | covers & agrees)
+    return h.withColumn("overlap", both).withColumn("strength", F.when(strong, "strong").otherwise("weak")).drop("__w", "__n")
 
 
 def sign_test(wins: int, losses: int) -> float:

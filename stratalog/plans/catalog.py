@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratalog.operators import changefeed, hierarchy, orphans
-from stratalog.plans import more_queries, problems, registry, report_queries, search_queries, source_queries, store_queries  # noqa: F401
+from stratalog.plans import more_queries, problems, registry, report_queries, search_queries, source_queries, store_queries, upkeep_queries  # noqa: F401
 
 
 def queries() -> dict:

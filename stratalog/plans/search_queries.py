@@ -123,12 +123,6 @@ def r27_recall(spark, sf):
     return S.page(S.score(fused(spark, sf), load(spark, sf, "node"), NOW)).select("id", "score")
 
 
-@query()
-def r13_match_strength(spark, sf):
-    p = S.page(S.score(fused(spark, sf), load(spark, sf, "node"), NOW))
-    return S.match_strength(p, QUERY).select("id", "overlap", "strength")
-
-
 @query(f"""with {EVENT_SQL}, i as (select node_id, count(*) filter (event = 'shown') as shown, count(*) filter (event = 'opened') as opened, max(case when event = 'shown' then at end) as last_shown from ev group by 1)
   select node_id, round(case when shown >= 10 and opened = 0 then greatest(0.7, 1.0 - 0.5 * power(2, -greatest(1706745600 - last_shown, 0) / 86400.0 / 30)) else 1.0 end, 6) as damp from i""")
 def r12_impression_damp(spark, sf):

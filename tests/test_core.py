@@ -171,7 +171,7 @@ def test_chunker_keeps_fences_and_lines():
     assert "# no heading" in got[0][1] and got[1][2] == text.split("## B")[0].count("\n") + 1
 
 
-def test_ignore_rules_and_collections():
+def test_ignore_rules_and_collections(spark):
     assert not [
         r for r in spark.createDataFrame([("a/target/x.rs", True), ("keep.rs", False), ("b/keep.rs", False), ("targets/y", False)], "path string, out boolean")
         .filter(files.ignored("path", ["target/", "*.rs", "!keep.rs"]) != F.col("out")).collect()
@@ -283,3 +283,50 @@ def test_imports_lead_to_files(spark, sf):
     assert {r["source"][:1] == "." for r in found} == {True, False}
     assert all(r["target"] == _led_to(paths[r["file_id"]], r["source"], paths.values()) for r in found)
     assert {r["file_id"] for r in f.filter(F.col("content").rlike(r"(?m)^use crate::")).collect()} <= {r["file_id"] for r in found}
+
+
+def test_uncovered_runs(spark):
+    from stratalog.operators import upkeep
+
+    spans = spark.createDataFrame([(1, 2, 3), (1, 3, 5), (1, 9, 99), (1, 5, 4), (1, None, 4), (2, -3, 1), (9, 1, 2)], "f long, first long, end long")
+    bounds = spark.createDataFrame([(1, 10), (2, 4), (3, 2)], "f long, last long")
+    assert sorted(map(tuple, upkeep.uncovered(spans, bounds, "f").collect())) == [(1, 1, 1), (1, 6, 8), (2, 2, 4), (3, 1, 2)]
+
+
+def test_match_strength_needs_agreement(spark):
+    hits = spark.createDataFrame([(1, "memory", "shared index", "moved", "", 1.0), (2, "memory", "shared index", None, None, 1.0), (3, "symbol", "Retention", None, None, 1.0), (4, "memory", "x", "y", None, 1.0)], "id long, kind string, title string, body string, tags_text string, score double")
+    words, near = (spark.createDataFrame(v, "id long, rank long") for v in ([(1, 0), (2, 9), (4, 1)], [(1, 3), (2, 10), (4, 0)]))
+    label = lambda *a: {r["id"]: r["strength"] for r in search.match_strength(hits, *a).collect()}
+    assert label("the retention of the shared index", words, near) == {1: "strong", 2: "weak", 3: "strong", 4: "weak"}
+    assert label("shared index", words) == {1: "strong", 2: "strong", 3: "weak", 4: "weak"}
+    assert set(label("of the", words, near).values()) == {"weak"}
+
+
+def test_memo_ladder_and_rerank_gates():
+    from stratalog.operators import upkeep
+
+    memo, asked = upkeep.Memo(2), []
+    make = lambda t: asked.append(t) or [1.0]
+    for t in "aabcca":
+        memo.get(t, make)
+    assert asked == ["a", "b", "c", "a"]
+
+    def down(_):
+        raise OSError
+
+    def no(_):
+        raise PermissionError
+
+    ladder = upkeep.Ladder([down, no, lambda t: [0.0] * (2 if t == "x" else 3)], 3)
+    assert ladder("a", 0) == [0.0] * 3 and ladder("x", 1) is None and ladder("a", 2) is None and ladder("a", 62) == [0.0] * 3
+    assert ladder.until[1] == float("inf")
+    assert upkeep.rerank_wanted("always", 2, 1000) and not upkeep.rerank_wanted("warm", 2, 1000) and not upkeep.rerank_wanted("always", 1, 9999)
+
+
+def test_annotations_inherit_their_place(spark):
+    from stratalog.operators import upkeep
+
+    t = spark.createDataFrame([(5, "collection", 1, None, "about"), (6, "file", 2, 5, "more\nlines"), (7, "file", 2, 5, None)], "id long, kind string, project_id long, collection_id long, text string")
+    note, edge = upkeep.annotate(t, 100, 9)
+    assert [(r["id"], r["collection_id"], r["title"]) for r in note.orderBy("id").collect()] == [(100, 5, "about"), (101, 5, "more")]
+    assert {(r["src"], r["dst"]) for r in edge.collect()} == {(100, 5), (101, 6)}
