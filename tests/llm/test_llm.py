@@ -80,6 +80,40 @@ def test_neighbours_recall_and_copies(spark):
     assert own == set(range(100, 110))
 
 
+@pytest.mark.parametrize("rows,trees,take", [(900, 5, 40), (900, 5, 10_000), (30, 3, 8), (3, 2, 4), (1, 2, 4)])
+def test_queue_yields_the_cheapest_leaves(rows, trees, take, monkeypatch):
+    monkeypatch.setattr(neighbours, "TAKEN", 1)
+    x = neighbours.unit(clustered(rows, 8, 3) if rows > 60 else np.random.default_rng(1).standard_normal((rows, 8)))
+    grown = [neighbours.grow(x, 8, t) for t in range(trees)]
+    f = neighbours.Forest(grown, x, 8)
+
+    def ways(tree, q):
+        """Price of every leaf of a tree, by going down all ways."""
+        w, c, kids = tree
+        out, todo = {}, [(0 if len(w) else -1, 0.0)]
+        while todo:
+            k, cost = todo.pop()
+            if k < 0:
+                out[~k] = cost
+                continue
+            side = float(q @ w[k] - c[k])
+            todo += [(int(kids[k][1]), cost if side > 0 else max(cost, -side)), (int(kids[k][0]), cost if side <= 0 else max(cost, side))]
+        return out
+
+    leaf, cost = f.queue(x, take)
+    for r in range(0, len(x), max(1, len(x) // 20)):
+        base, prices = 0, {}
+        for t in grown:
+            prices |= {base + k: v for k, v in ways(t, x[r]).items()}
+            base += len(t[0]) + 1
+        got = sorted(set(leaf[r].tolist()))
+        assert np.allclose([prices[k] for k in leaf[r].tolist()], cost[r], atol=1e-5)
+        if take >= f.leaves:
+            assert got == list(range(f.leaves))
+        else:
+            assert len(got) == take and np.allclose(np.sort(cost[r]), sorted(prices.values())[:take], atol=1e-5)
+
+
 def test_neighbours_unusable_few_and_empty(spark):
     rows = [
         (1, "m", 2, [1.0, 0.0], None), (2, "m", 2, [0.0, 1.0], None), (3, "m", 2, [0.0, 0.0], None), (4, "m", 2, [float("nan"), 1.0], None),
