@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +36,23 @@ def text_of(c) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
 
+@functools.lru_cache(1)
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks and the plain letters they are made of."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0].lower()) for c, d in pairs if len(d) > 1 and d[0].isascii()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def fold_text(s: str) -> str:
+    """Lower case without accents."""
+    return s.translate(str.maketrans(*_folds())).lower()
+
+
+def folded(c) -> Column:
+    return F.lower(F.translate(text_of(c), *_folds()))
+
+
 def tokens(c) -> Column:
     """Runs of letters, digits, ``_``, ``-`` and ``.``, in lower case."""
     return F.regexp_extract_all(F.lower(text_of(c)), F.lit(TOKEN), F.lit(0))

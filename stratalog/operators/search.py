@@ -7,6 +7,7 @@ drop out afterwards.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -17,6 +18,7 @@ from stratalog.functions import text as X
 from stratalog.functions.stem import stem, stem_udf
 from stratalog.operators import predicates as P
 from stratalog.operators.ledger import effective_strength, half_life
+from stratalog.session import Scratch
 
 WEIGHTS = {"title": 4.0, "body": 1.0, "path": 2.0, "tags_text": 3.0}
 K1, B = 1.2, 0.75
@@ -37,31 +39,38 @@ def content_terms(text: str) -> list[str]:
     return [w for w in query_terms(text) if w not in X.STOPWORDS]
 
 
-def _stems(c) -> Column:
-    return stem_udf(X.tokens(c))
-
-
-def _equal(term: str):
-    return lambda x: x == term
+def _stem_head(s: str) -> str:
+    """What every word of a stem begins with: stemming changes no more than the last two letters of what it leaves."""
+    return s[: max(2, len(s) - 2)] if len(s) > 2 else s
 
 
 def bm25(nodes: DataFrame, text: str, stemmed: bool = False) -> DataFrame:
-    """id, score of every node that holds a term; statistics over all nodes given."""
-    terms = query_terms(text)
-    tok = X.tokens
+    """id, score of every node that holds a term; statistics over all nodes given.
+
+    ``stemmed`` folds accents and takes words of one stem for each other. The text is read once: each node's length
+    and, where a term can be in it, the words that may be one are written to the shared folder; statistics and
+    scores come from there.
+    """
+    terms = query_terms(X.fold_text(text) if stemmed else text)
+    if stemmed:
+        terms = list(dict.fromkeys(map(stem, terms)))
+    if not terms:
+        return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
+    heads = list(dict.fromkeys(map(_stem_head, terms))) if stemmed else terms
+    fits = lambda x: functools.reduce(Column.__or__, (x.startswith(h) for h in heads)) if stemmed else x.isin(*terms)
+    cut = nodes.select("id", *[X.tokens(X.folded(c) if stemmed else c).alias(c) for c in WEIGHTS])
+    words = cut.select("id", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("dl"), *[F.filter(c, fits).alias(f"t_{c}") for c in WEIGHTS])
+    base = words.select("id", "dl", *[F.when(F.size(f"t_{c}") > 0, F.col(f"t_{c}")).alias(f"t_{c}") for c in WEIGHTS])
+    base = Scratch(nodes.sparkSession, "bm25").keep(base, "words")
+    held = base.filter(" or ".join(f"t_{c} is not null" for c in WEIGHTS))
     if stemmed:
-        terms, tok = list(dict.fromkeys(map(stem, terms))), _stems
-    cols = {c: tok(c) for c in WEIGHTS}
-    base = nodes.select("id", *[v.alias(f"t_{c}") for c, v in cols.items()])
-    dl = sum((F.size(f"t_{c}") for c in WEIGHTS), F.lit(0))
-    # one pass over the tokens leaves those of the query, which are few
-    base = base.select("id", dl.alias("dl"), *[F.filter(f"t_{c}", lambda x: x.isin(*terms)).alias(f"t_{c}") for c in WEIGHTS])
-    hits = [F.size(F.filter(f"t_{c}", _equal(t))) for t in terms for c in WEIGHTS]
-    w = list(WEIGHTS.values())
-    tf = [sum((hits[i * len(w) + k] * w[k] for k in range(len(w))), F.lit(0.0)) for i in range(len(terms))]
-    base = base.select("id", "dl", (F.array(*tf) if terms else F.array().cast("array<double>")).alias("tf"))
-    stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
-    j = base.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+        held = held.select("id", "dl", *[stem_udf(f"t_{c}").alias(f"t_{c}") for c in WEIGHTS])
+    count = lambda c, t: F.coalesce(F.size(F.filter(f"t_{c}", lambda x: x == t)), F.lit(0))
+    tf = [sum((count(c, t) * w for c, w in WEIGHTS.items()), F.lit(0.0)) for t in terms]
+    held = held.select("id", "dl", F.array(*tf).alias("tf")).filter(F.exists("tf", lambda x: x > 0))
+    size = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    found = held.agg(*[F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
+    j = held.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(found))  # one row each
     score = F.lit(0.0)
     for i in range(len(terms)):
         df, f = F.col(f"df{i}"), F.col("tf")[i]
@@ -77,20 +86,26 @@ def leg(scored: DataFrame, most: int = LEG) -> DataFrame:
 
 
 def identifier_phrases(text: str) -> list[str]:
-    """Phrases of a query's words that look like identifiers, their parts separated by blanks."""
+    """Phrases of a query's words that look like identifiers: their runs of letters and digits, separated by blanks."""
     out = []
     for w in re.findall(r"[\w.:]+", text):
         if "::" in w or re.search(r"\w_\w|\w\.\w", w) or re.search(r"[a-z0-9][A-Z]", w):
-            out.append(" ".join(p.lower() for p in re.split(r"::", w) if p))
-    return list(dict.fromkeys(out))
+            out.append(" ".join(re.findall(r"[^\W_]+", w.lower())))
+    return list(dict.fromkeys(filter(None, out)))
 
 
 def identifier_leg(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose title or body holds one of the phrases in a row; score is the number of phrases."""
     phrases = identifier_phrases(text)
-    hay = F.concat(F.lit(" "), F.array_join(X.tokens("title"), " "), F.lit("  "), F.array_join(X.tokens("body"), " "), F.lit(" "))
+    if not phrases:
+        return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
+    low = F.lower(F.concat(X.text_of("title"), F.lit(" "), X.text_of("body")))
+    # only texts with all parts of a phrase are cut into words
+    may = functools.reduce(Column.__or__, (functools.reduce(Column.__and__, (F.contains(low, F.lit(w)) for w in p.split(" "))) for p in phrases))
+    runs = lambda c: F.array_join(F.regexp_extract_all(F.lower(X.text_of(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    hay = F.concat(F.lit(" "), runs("title"), F.lit("  "), runs("body"), F.lit(" "))
     n = sum((F.when(hay.contains(f" {p} "), 1).otherwise(0) for p in phrases), F.lit(0))
-    return nodes.select("id", n.cast("double").alias("score")).filter("score > 0")
+    return nodes.select("id", F.when(may, n).otherwise(0).cast("double").alias("score")).filter("score > 0")
 
 
 def cosine(vec, other) -> Column:
@@ -135,11 +150,13 @@ def impression_damp(now: int, alpha: float) -> Column:
 
 def score(fused: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
     """Fused hits with strength, recency, type and code factors; dead and superseded rows drop out here."""
-    n = nodes.filter(P.live() & F.col("superseded_by").isNull() & ~P.expired(now))
+    n = nodes.filter(P.live() & F.col("superseded_by").isNull())
     prior = F.when(F.col("subkind").isin("gotcha", "decision"), 1.25).otherwise(1.0)
     damp = F.when(F.col("kind").isin("symbol", "codechunk"), ALPHA["code"]).otherwise(1.0)
     s = F.col("rrf") * (1 + ALPHA["strength"] * F.ln(1 + effective_strength(now))) * recency(now) * (1 + ALPHA["prior"] * (prior - 1)) * damp
-    return fused.join(n, "id").select("id", "kind", "title", "body", "tags_text", F.round(s, 8).alias("score"))
+    # JSON is read of the hits only: a condition that needs both sides stays behind the join
+    hits = fused.join(n, "id").filter(F.when(F.col("rrf").isNotNull(), ~P.expired(now)).otherwise(False))
+    return hits.select("id", "kind", "title", "body", "tags_text", F.round(s, 8).alias("score"))
 
 
 def page(scored: DataFrame, limit: int = 8) -> DataFrame:

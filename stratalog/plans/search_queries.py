@@ -17,7 +17,7 @@ from stratalog.plans.report_queries import _EFF, _HALF
 from stratalog.tables import load
 
 QUERY = "the default retention of the shared index moved"
-IDENT = "Vec::new read_shard expandEnvelope"
+IDENT = "Vec::new wait_branch record_layer stall_mask emit_relay expandEnvelope"
 MODEL, DIM = "trellis-64", 64
 _TEXT = ["id", "title", "body", "path", "tags_text"]
 
@@ -52,9 +52,9 @@ def r2_bm25_stemmed(spark, sf):
     return S.leg(S.bm25(nodes(spark, sf, *_TEXT), QUERY, stemmed=True)).select("id", "score", "rank")
 
 
+_RUNS = "array_to_string(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+'), ' ')"
 _IDENT_SQL = " + ".join(
-    f"case when contains(' ' || array_to_string(regexp_extract_all(lower(coalesce(title, '')), '[\\p{{L}}\\p{{N}}_.\\-]+'), ' ') || '  ' || array_to_string(regexp_extract_all(lower(coalesce(body, '')), '[\\p{{L}}\\p{{N}}_.\\-]+'), ' ') || ' ', ' {p} ') then 1 else 0 end"
-    for p in S.identifier_phrases(IDENT)
+    f"case when contains(' ' || {_RUNS.format('title')} || '  ' || {_RUNS.format('body')} || ' ', ' {p} ') then 1 else 0 end" for p in S.identifier_phrases(IDENT)
 )
 
 
@@ -123,6 +123,14 @@ def r27_recall(spark, sf):
     return S.page(S.score(fused(spark, sf), load(spark, sf, "node"), NOW)).select("id", "score")
 
 
+@query()
+def r27_recall_all_legs(spark, sf):
+    """A page from all legs: words by their stems and without accents, identifier phrases, vectors."""
+    n, text = nodes(spark, sf, *_TEXT), f"{QUERY} {IDENT}"
+    legs = [S.bm25(n, text, stemmed=True), S.identifier_leg(n, text), S.vector_leg(vectors(spark, sf), query_vector(spark, sf))]
+    return S.page(S.score(S.rrf(*map(S.leg, legs)), load(spark, sf, "node"), NOW)).select("id", "score")
+
+
 @query(f"""with {EVENT_SQL}, i as (select node_id, count(*) filter (event = 'shown') as shown, count(*) filter (event = 'opened') as opened, max(case when event = 'shown' then at end) as last_shown from ev group by 1)
   select node_id, round(case when shown >= 10 and opened = 0 then greatest(0.7, 1.0 - 0.5 * power(2, -greatest(1706745600 - last_shown, 0) / 86400.0 / 30)) else 1.0 end, 6) as damp from i""")
 def r12_impression_damp(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.engine import Store
 from stratalog.operators import changefeed, components, consolidate, graph, hierarchy, inject, ledger, orphans, replication, search
 from stratalog.sources import chunker, files
+from stratalog.tables import load as load_table
 
 
 def feed(spark, rows):
@@ -330,3 +331,46 @@ def test_annotations_inherit_their_place(spark):
     note, edge = upkeep.annotate(t, 100, 9)
     assert [(r["id"], r["collection_id"], r["title"]) for r in note.orderBy("id").collect()] == [(100, 5, "about"), (101, 5, "more")]
     assert {(r["src"], r["dst"]) for r in edge.collect()} == {(100, 5), (101, 6)}
+
+
+def brute_bm25(rows, text):
+    """Stemmed and folded scores by hand: id, score."""
+    import math
+    import re
+    import unicodedata
+
+    from stratalog.functions.stem import stem
+    from stratalog.functions.text import STOPWORDS
+
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t or "") if not unicodedata.combining(c)).lower()
+    cut = lambda t: [stem(w) for w in re.findall(r"[\w.\-]+", fold(t))]
+    terms = list(dict.fromkeys(stem(w) for w in re.findall(r"[\w.\-]+", fold(text)) if w not in STOPWORDS))
+    docs = {r[0]: [cut(f) for f in r[1:]] for r in rows}
+    avg = sum(sum(map(len, d)) for d in docs.values()) / len(docs)
+    tf = {i: [sum(w * f.count(t) for w, f in zip((4, 1, 2, 3), d)) for t in terms] for i, d in docs.items()}
+    df = [sum(v[k] > 0 for v in tf.values()) for k in range(len(terms))]
+    out = {}
+    for i, v in tf.items():
+        if any(v):
+            dl = sum(map(len, docs[i]))
+            out[i] = sum(max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg)) for f, n in zip(v, df))
+    return out
+
+
+def test_stemmed_bm25_against_brute_force(spark, sf):
+    cols = ["id", "title", "body", "path", "tags_text"]
+    n = load_table(spark, sf, "node").select(*cols)
+    more = [(10**9, "R\u00e9tentions kept", "indexing and the hoping relational sensibilities", None, None), (10**9 + 1, None, None, None, None)]
+    n = n.unionByName(spark.createDataFrame(more, "id long, title string, body string, path string, tags_text string"))
+    rows = list(map(tuple, n.collect()))
+    for text in ("the retention of the indexes moved", "relate sensible hopes"):
+        got = {r["id"]: r["score"] for r in search.bm25(n, text, stemmed=True).collect()}
+        want = brute_bm25(rows, text)
+        assert 10**9 in want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert search.bm25(n, "", stemmed=True).count() == 0
+
+
+def test_identifier_phrases_in_a_row(spark):
+    n = spark.createDataFrame([(1, "Vec::new", None), (2, "new vec", "x"), (3, None, "a x.wait_branch. b Vec new"), (4, "vec", "new")], "id long, title string, body string")
+    got = {r["id"]: r["score"] for r in search.identifier_leg(n, "Vec::new wait_branch").collect()}
+    assert got == {1: 1.0, 3: 2.0} and search.identifier_leg(n, "plain words").count() == 0
