@@ -130,9 +130,10 @@ class Store:
         n = self.table("node")
         good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
         v = self.table("embedding").filter((F.col("model") == model) & (F.size("vec") == F.col("dim")) & good).select("node_id", "vec").distinct()
-        pairs = consolidate.similar_pairs(consolidate.memory_vectors(n, v).select("id", "project_id", "vec"), "project_id")
+        m = consolidate.memory_vectors(n, v).select("id", "subkind", "project_id", "vec")
+        pairs, alike = consolidate.similar_pairs(m, "project_id"), consolidate.similar_pairs(m, "subkind", "project_id")
         return {
-            "duplicates": consolidate.duplicates(pairs, n), "contradictions": consolidate.contradictions(pairs, n),
+            "duplicates": consolidate.duplicates(alike, n), "contradictions": consolidate.contradictions(alike, n),
             "clusters": consolidate.clusters(pairs), "archive": consolidate.decayed(n, self.now),
         }
 

@@ -17,11 +17,12 @@ BUDGET_CHARS = 800
 
 def floor(hits: DataFrame, vector_leg: DataFrame, text: str) -> DataFrame:
     """Hits relevant enough: a rule or pinned, two of the query's terms, and among the ten nearest vectors where there is a vector leg."""
-    h = search.match_strength(hits, text)
+    terms = search.content_terms(text)
+    h = search.overlap(hits, terms)
     near = vector_leg.filter("rank < 10").select("id", F.lit(True).alias("near"))
     h = h.join(near, "id", "left")
-    terms = min(2, len(search.query_terms(text)))
-    return h.filter((F.col("subkind").isin("gotcha", "decision") | F.coalesce("pinned", F.lit(False))) & (F.col("overlap") >= terms) & F.coalesce("near", F.lit(False)))
+    rule = F.col("subkind").isin("gotcha", "decision") | F.coalesce("pinned", F.lit(False))
+    return h.filter(F.lit(bool(terms)) & rule & (F.col("overlap") >= min(2, len(terms))) & F.coalesce("near", F.lit(False)))
 
 
 def fires(phrases: str, text: str) -> F.Column:

@@ -166,6 +166,13 @@ def page(scored: DataFrame, limit: int = 8) -> DataFrame:
     return one.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def overlap(hits: DataFrame, terms: list[str]) -> DataFrame:
+    """``hits`` (title, body, tags_text) with the number of the terms they hold."""
+    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    hay = X.tokens(F.concat_ws(" ", X.text_of("title"), X.text_of("body"), X.text_of("tags_text")))
+    return hits.withColumn("overlap", F.size(F.array_intersect(listed, hay)))
+
+
 def match_strength(hits: DataFrame, text: str, words: DataFrame, near: DataFrame | None = None, top: int = 10) -> DataFrame:
     """``hits`` (kind, title, body, tags_text) with overlap and strength.
 
@@ -176,14 +183,11 @@ def match_strength(hits: DataFrame, text: str, words: DataFrame, near: DataFrame
     first = lambda x, c: x.filter(F.col("rank") < top).select("id", F.lit(True).alias(c))
     h = hits.join(first(words, "__w"), "id", "left")
     h = h.join(first(near, "__n"), "id", "left") if near is not None else h.withColumn("__n", F.lit(None).cast("boolean"))
-    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hay = X.tokens(F.concat_ws(" ", X.text_of("title"), X.text_of("body"), X.text_of("tags_text")))
-    both = F.size(F.array_intersect(listed, hay))
     covers, w, n = F.col("overlap") >= min(2, len(terms)), F.col("__w").isNotNull(), F.col("__n").isNotNull()
     agrees = w & n if near is not None else w & (F.col("overlap") == len(terms)) & (F.col("overlap") >= 2)
-    named = (F.col("kind") == "symbol") & F.array_contains(listed, F.lower(X.text_of("title")))
+    named = (F.col("kind") == "symbol") & F.lower(X.text_of("title")).isin(*terms)
     strong = F.lit(bool(terms)) & (named | covers & agrees)
-    return h.withColumn("overlap", both).withColumn("strength", F.when(strong, "strong").otherwise("weak")).drop("__w", "__n")
+    return overlap(h, terms).withColumn("strength", F.when(strong, "strong").otherwise("weak")).drop("__w", "__n")
 
 
 def sign_test(wins: int, losses: int) -> float:

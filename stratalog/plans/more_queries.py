@@ -284,11 +284,11 @@ def m10_review_scan(spark, sf):
     return stale.unionAll(old).groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query(f"with {EVENT_SQL}, s as (select node_id, max(at) as last from ev where event = 'shown' group by 1) select node_id from s where last >= 1706745600 - 6 * 3600")
+@query(f"with {EVENT_SQL}, s as (select node_id, max(at) as last from ev where event = 'shown' group by 1) select node_id from s where last >= (select max(last) from s) - 6 * 3600")
 def e12_suppressed(spark, sf):
-    """What was shown in the last six hours and is held back."""
+    """What was shown in the six hours before the last page and is held back."""
     s = recall_event(spark, sf).filter("event = 'shown'").groupBy("node_id").agg(F.max("at").alias("last"))
-    return s.filter(F.col("last") >= 1_706_745_600 - 6 * 3600).select("node_id")
+    return s.crossJoin(F.broadcast(s.agg(F.max("last").alias("now")))).filter("last >= now - 6 * 3600").select("node_id")
 
 
 @query(f"""with {EVENT_SQL}, x as (select node_id, at, at - lag(at) over (partition by node_id order by at, id) as gap from ev), y as (select node_id, at, sum(case when gap is null or gap > 86400 then 1 else 0 end) over (partition by node_id order by at rows between unbounded preceding and current row) as session from x)
@@ -315,17 +315,6 @@ def r20_embed_pending(spark, sf):
     return embed_pending(n.select("id", "content_hash", "body"), donors, hash_embedder()).select("node_id", "copied")
 
 
-@query()
-def r15_injection(spark, sf):
-    """What the floor lets through for the flagship's text."""
-    from stratalog.operators import inject, search
-    from stratalog.plans import search_queries as Q
-
-    leg = search.leg(search.vector_leg(Q.vectors(spark, sf), Q.query_vector(spark, sf)))
-    hits = search.score(Q.fused(spark, sf), load(spark, sf, "node"), NOW).join(nodes(spark, sf, "id", "subkind", "pinned"), "id")
-    return inject.floor(hits, leg, Q.QUERY).select("id", "overlap", "score")
-
-
 @query("select id from node where kind = 'memory' and deleted_at is null and tags_text <> '' and len(list_filter(string_split(tags_text, ' '), lambda x: length(x) > 3 and contains('the default retention of the shared index moved', x))) > 0")
 def r16_fires(spark, sf):
     """Memories of which a tag, read as a trigger phrase, fires on the flagship's text."""

@@ -262,38 +262,61 @@ def g13_link_scan(spark, sf):
     return m.join(s.filter("n <= 3"), "w").select("id", "symbol")
 
 
-def memory_pairs(spark, sf):
-    n = nodes(spark, sf, "id", "kind", "subkind", "project_id", "deleted_at", "superseded_by")
-    return C.similar_pairs(C.memory_vectors(n, vectors(spark, sf)).select("id", "subkind", "project_id", "vec"), "project_id")
-
-
-_MV = f"mv as (select n.id, n.subkind, n.project_id, n.created_at, n.pinned, n.body, g.vec from node n join ({_GOOD}) g on g.node_id = n.id where n.kind = 'memory' and n.deleted_at is null and n.superseded_by is null)"
+def planted_memories(spark, sf):
+    """Live memories with their vectors, and four later copies of each with ever more of the vector blotted out, every
+    other one denying: the tables have no memories as close as that."""
+    n = nodes(spark, sf, "id", "kind", "subkind", "project_id", "created_at", "pinned", "body", "deleted_at", "superseded_by")
+    m = C.memory_vectors(n, vectors(spark, sf)).select("id", "subkind", "project_id", "created_at", "pinned", "body", "vec").distinct()
+    out = m
+    for j in range(1, 5):
+        blot = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 4 * j), F.slice("vec", 4 * j + 1, DIM))
+        denies = F.concat(F.coalesce("body", F.lit("")), F.lit(" not" if j % 2 else ""))
+        out = out.unionByName(m.select((F.col("id") + j * 1_000_000_000).alias("id"), "subkind", "project_id", (F.col("created_at") + j).alias("created_at"), F.lit(False).alias("pinned"), denies.alias("body"), blot.alias("vec")))
+    return out
+
+
+def memory_pairs(spark, sf, *bucket):
+    return C.similar_pairs(planted_memories(spark, sf).select("id", *bucket, "vec"), *bucket)
+
+
+_LIVE = f"live as (select distinct n.id, n.subkind, n.project_id, n.created_at, n.pinned, n.body, g.vec from node n join ({_GOOD}) g on g.node_id = n.id where n.kind = 'memory' and n.deleted_at is null and n.superseded_by is null)"
+_COPIES = " ".join(
+    f"union all select id + {j}000000000, subkind, project_id, created_at + {j}, false, coalesce(body, '') || '{' not' if j % 2 else ''}', list_concat(list_transform(range({4 * j}), lambda x: 0.0::float), vec[{4 * j + 1}:]) from live" for j in range(1, 5)
+)
+_MV = f"{_LIVE}, mv as (select * from live {_COPIES})"
 _PAIRS = f"{_MV}, pr as (select a.project_id, a.subkind as sa, b.subkind as sb, a.id as a, b.id as b, round({_COS.format('a.vec', 'b.vec')}, 6) as sim from mv a join mv b on a.id < b.id and a.project_id is not distinct from b.project_id)"
 
 
 @query(f"with {_PAIRS} select a, b, sim from pr where sim >= 0.8")
 def j14_similar_memories(spark, sf):
-    return memory_pairs(spark, sf).select("a", "b", "sim")
+    return memory_pairs(spark, sf, "project_id").select("a", "b", "sim")
+
+
+@query(f"with {_PAIRS} select a, b, sim from pr where sim >= 0.92 and sa is not distinct from sb")
+def j13_similar_of_a_kind(spark, sf):
+    return memory_pairs(spark, sf, "subkind", "project_id").filter("sim >= 0.92").select("a", "b", "sim")
 
 
 @query(f"""with {_PAIRS}, d as (select case when x.created_at < y.created_at or (x.created_at = y.created_at and x.id < y.id) then x.id else y.id end as older,
-    case when x.created_at < y.created_at or (x.created_at = y.created_at and x.id < y.id) then y.id else x.id end as newer from pr join mv x on x.id = a join mv y on y.id = b where sim >= 0.92)
+    case when x.created_at < y.created_at or (x.created_at = y.created_at and x.id < y.id) then y.id else x.id end as newer from pr join mv x on x.id = a join mv y on y.id = b where sim >= 0.92 and sa is not distinct from sb)
   select older, min(newer) as newer from d join mv on mv.id = older where not coalesce(pinned, false) group by 1""")
 def k1_duplicates(spark, sf):
-    return C.duplicates(memory_pairs(spark, sf), nodes(spark, sf, "id", "created_at", "pinned"))
+    """Within a kind and project the older of two near copies gives way."""
+    return C.duplicates(memory_pairs(spark, sf, "subkind", "project_id"), planted_memories(spark, sf))
 
 
 _NEG = " or ".join(f"contains(lower(coalesce({{0}}.body, '')), '{n.replace(chr(39), chr(39) * 2)}')" for n in X.NEGATIONS)
 
 
-@query(f"with {_PAIRS} select a, b, sim from pr join mv x on x.id = a join mv y on y.id = b where sim >= 0.85 and sim < 0.92 and ({_NEG.format('x')}) <> ({_NEG.format('y')})")
+@query(f"with {_PAIRS} select a, b, sim from pr join mv x on x.id = a join mv y on y.id = b where sim >= 0.85 and sim < 0.92 and sa is not distinct from sb and ({_NEG.format('x')}) <> ({_NEG.format('y')})")
 def k2_contradictions(spark, sf):
-    return C.contradictions(memory_pairs(spark, sf), nodes(spark, sf, "id", "body"))
+    return C.contradictions(memory_pairs(spark, sf, "subkind", "project_id"), planted_memories(spark, sf))
 
 
-@query()
+@query(f"""with recursive {_PAIRS}, e as (select a, b from pr where sim >= 0.8 union select b, a from pr where sim >= 0.8), r as (select a as id, a as c from e union select e.b, r.c from r join e on e.a = r.id),
+  k as (select id, min(c) as component from r group by 1) select id, component, count(*) over (partition by component) as size from k qualify count(*) over (partition by component) >= 5""")
 def k3_clusters(spark, sf):
-    return C.clusters(memory_pairs(spark, sf), 2)
+    return C.clusters(memory_pairs(spark, sf, "project_id"))
 
 
 @query(f"""select id from node where kind = 'memory' and deleted_at is null and superseded_by is null and not coalesce(pinned, false) and coalesce(last_accessed, created_at) < {NOW} - 90 * 86400 and {_EFF} < 0.05""")

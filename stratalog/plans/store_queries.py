@@ -332,9 +332,14 @@ def f14_civil_date(spark, sf):
     return nodes(spark, sf, "id", "created_at").filter("created_at is not null").select("id", F.date_format(X.civil_date("created_at"), "yyyy-MM-dd").alias("day"))
 
 
-@query(r"""select kind, count(*) as n from (select case """ + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in X.SECRETS.items()) + r""" end as kind from documents where text is not null) where kind is not null group by 1""")
+# Invented secrets of every kind, put behind the texts of some documents, which have none of their own.
+_PLANTED = {"0": "-----BEGIN RSA PRIVATE " + "KEY-----", "1": "AKIA" + "ABCDEFGH12345678", "2": "ghp_" + "a1" * 18, "3": "xoxb-" + "1234567890a", "4": ".".join(["eyJ" + "abcdefgh1", "eyJ" + "abcdefgh2", "abcdefgh3"]), "5": "AKIA" + "TOOSHORT"}
+
+
+@query(r"""select kind, count(*) as n from (select case """ + " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in X.SECRETS.items()) + " end as kind from (select text || ' ' || case doc_id % 10 " + " ".join(f"when {k} then '{v}'" for k, v in _PLANTED.items()) + " else '' end as t from documents where text is not null)) where kind is not null group by 1")
 def f32_secrets(spark, sf):
-    d = load(spark, sf, "documents").filter("text is not null").select(X.secret_kind("text").alias("kind"))
+    planted = F.coalesce(F.create_map(*[F.lit(x) for kv in _PLANTED.items() for x in kv])[(F.col("doc_id") % 10).cast("string")], F.lit(""))
+    d = load(spark, sf, "documents").filter("text is not null").select(X.secret_kind(F.concat("text", F.lit(" "), planted)).alias("kind"))
     return d.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
 
 

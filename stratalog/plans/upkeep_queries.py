@@ -12,7 +12,7 @@ from stratalog.operators import search as S
 from stratalog.operators import upkeep as U
 from stratalog.plans.bindings import DAY, EDGE_SQL, EVENT_SQL, NOW, SAVINGS_SQL, edges, nodes, recall_event, savings_event
 from stratalog.plans.registry import query
-from stratalog.plans.search_queries import _SCORED, QUERY, fused, vectors, query_vector
+from stratalog.plans.search_queries import _SCORED, _TEXT, QUERY, _bm25_sql, fused, query_vector, vectors
 from stratalog.tables import load
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_.\-]+')"
@@ -132,14 +132,35 @@ def t4_reranked(spark, sf):
   select id, overlap, case when kind = 'symbol' and list_contains({_LIST}, name) then 'strong' when overlap >= 2 and id in (select id from a) and id in (select id from b) then 'strong' else 'weak' end as strength from h""")
 def r13_match_strength(spark, sf):
     """Labels of a page's hits by the agreement of its two legs."""
-    from stratalog.plans.search_queries import _TEXT
-
     words = S.leg(S.bm25(nodes(spark, sf, *_TEXT), QUERY))
     near = S.leg(S.vector_leg(vectors(spark, sf), query_vector(spark, sf)))
     p = S.page(S.score(S.rrf(words, near), load(spark, sf, "node"), NOW))
     return S.match_strength(p, QUERY, words, near).select("id", "overlap", "strength")
 
 
+_RULE = "n.kind = 'memory' and n.deleted_at is null and n.superseded_by is null and n.subkind in ('gotcha', 'decision')"
+PROMPT = "remember the version before retries disagree and through every budget"
+_WANTED = "[" + ", ".join(f"'{t}'" for t in S.content_terms(PROMPT)) + "]"
+_NEAR = _SCORED.replace(_bm25_sql(S.query_terms(QUERY)), _bm25_sql(S.query_terms(PROMPT))).replace(
+    "q as (select vec as qv from g order by node_id limit 1)",
+    f"q as (select vec as qv from g join node n on n.id = g.node_id join bm on bm.id = n.id where {_RULE} order by bm.score desc, n.id limit 1)",
+)
+
+
+@query(f"""with {_NEAR}, h as (select sc.id, sc.score, n.subkind, n.pinned, len(list_filter({_WANTED}, lambda t: list_contains({_TOK.format("coalesce(n.title, '') || ' ' || coalesce(n.body, '') || ' ' || coalesce(n.tags_text, '')")}, t))) as overlap from sc join node n using (id))
+  select id, overlap, score from h where (subkind in ('gotcha', 'decision') or pinned) and overlap >= 2 and id in (select id from l2 where rank < 10)""")
+def r15_injection(spark, sf):
+    """What the floor lets through for a prompt; the vector of the rule that its words find first stands for the text's own."""
+    from stratalog.operators import inject
+    words = S.bm25(nodes(spark, sf, *_TEXT), PROMPT)
+    n = load(spark, sf, "node")
+    rules = n.filter(P.briefable()).select("id").join(words, "id").join(vectors(spark, sf).withColumnRenamed("node_id", "id"), "id")
+    first = rules.orderBy(F.desc("score"), "id").first()
+    near = S.leg(S.vector_leg(vectors(spark, sf), list(first["vec"]) if first else query_vector(spark, sf)))
+    hits = S.score(S.rrf(S.leg(words), near), n, NOW).join(n.select("id", "subkind", "pinned"), "id")
+    return inject.floor(hits, near, PROMPT).select("id", "overlap", "score")
+
+
 @query("""with f as (select distinct file_id, len(string_split(content, chr(10))) as last from source_file where content is not null), l as (select file_id, unnest(range(1, last + 1)) as no from f),
   c as (select l.* from l where not exists (select 1 from symbol_def s where s.file_id = l.file_id and l.no between s.start_line and s.end_line)),
   i as (select *, no - row_number() over (partition by file_id order by no) as island from c)
