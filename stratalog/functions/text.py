@@ -1,10 +1,12 @@
-"""Text functions of the store as Spark columns; all stay inside generated code."""
+"""Text functions of the store as Spark columns; all but the snippet stay inside generated code."""
 
 from __future__ import annotations
 
 import functools
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -242,15 +244,38 @@ def meta_set(meta, key: str, value) -> Column:
     return F.to_json(F.map_concat(m, F.create_map(F.lit(key), value.cast("string"))))
 
 
+def densest(text: str, stems: list[str], most: int, lead: int) -> int:
+    """Where the window of ``most`` characters begins that holds the most different stems, some way before the first of
+    them; the earliest of equal ones, and the head of the text if none is better."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)  # keeps every place
+    at = {}
+    for s in dict.fromkeys(stems):
+        k, hits = low.find(s), []
+        while k >= 0:
+            hits.append(k)
+            k = low.find(s, k + 1)
+        if hits:
+            at[s] = np.array(hits)
+    if not at:
+        return 0
+    starts = np.unique(np.concatenate([[0], *(np.maximum(v - lead, 0) for v in at.values())]))
+    held = np.zeros(len(starts), np.int64)
+    for s, v in at.items():
+        first = np.searchsorted(v, starts)
+        held += (first < len(v)) & (v[np.minimum(first, len(v) - 1)] <= starts + most - len(s))
+    return int(starts[held.argmax()])
+
+
 def snippet(c, terms: list[str], most: int = 120, lead: int = 32) -> Column:
-    """The part of the text from shortly before the first of the terms' stems."""
+    """The densest part of a text for the terms' first five letters, with signs where something is left out."""
+    stems = [t.lower()[:5] for t in terms if len(t) >= 3]
+
+    @F.pandas_udf("int")
+    def start(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: densest(x, stems, most, lead)).astype("int32")
+
     t = collapse_ws(c)
-    low = F.lower(t)
-    at = F.lit(0)
-    spots = [F.locate(x.lower()[:5], low) for x in terms]
-    if spots:
-        hit = [F.when(p > 0, p) for p in spots]
-        at = F.coalesce(F.least(*hit) if len(hit) > 1 else hit[0], F.lit(0))
-    start = F.greatest(at - lead, F.lit(1))
-    cut = F.substring(t, start, F.lit(most))
-    return F.concat(F.when(start > 1, F.lit("…")).otherwise(""), cut, F.when(F.length(t) >= start + most, F.lit("…")).otherwise(""))
+    at = start(t) + 1
+    cut = F.substring(t, at, F.lit(most))
+    return F.concat(F.when(at > 1, F.lit("…")).otherwise(""), cut, F.when(F.length(t) >= at + most, F.lit("…")).otherwise(""))
+

@@ -23,7 +23,15 @@ def f2_comparison_tokens(spark, sf):
     return nodes(spark, sf, "id", "kind", "body").filter("kind = 'annotation'").select("id", F.size(X.comparison_tokens("body")).cast("long").alias("words"))
 
 
-@query()
+_DENIES = "(" + " or ".join(f"contains(lower(coalesce({{}}, '')), '{n.replace(chr(39), chr(39) * 2)}')" for n in X.NEGATIONS) + ")"
+_REWORD = f"""with p as (select a.id, a.body as x, b.body as y, {_CMP.format('a.body')} as s, {_CMP.format('b.body')} as t from node a join node b on b.id = a.superseded_by),
+  q as (select *, len(list_intersect(s, t)) as c, least(len(s), len(t)) as small, greatest(len(s), len(t)) as large from p)
+  select id, case when c = len(s) and c = len(t) then true when {_DENIES.replace('{}', 'x')} <> {_DENIES.replace('{}', 'y')} then false
+    when c = small and small >= 4 and large - small <= greatest(small // 2, 2) then true
+    else case when small = 0 then 0.0 else c * 1.0 / (len(s) + len(t) - c) end >= 0.85 end as reword from q"""
+
+
+@query(_REWORD)
 def f4_reword_of_newer(spark, sf):
     """Whether a superseded memory only rewords its successor."""
     n = nodes(spark, sf, "id", "title", "body", "superseded_by")

@@ -248,7 +248,12 @@ def m13_strength_deltas(spark, sf):
     return first.groupBy("node_id").agg(F.count("*").alias("steps"), F.round(F.sum(d), 6).alias("delta"))
 
 
-@query()
+_FOLD = f"""with {EVENT_SQL}, f as (select node_id, event, at, id, row_number() over (partition by node_id, event, at // 86400 order by at, id) as r from ev where event <> 'shown')
+  select node_id, round(list_reduce(list_prepend(1.0::double, list(case event when 'opened' then 0.3::double when 'useful' then 1.0 else -1.0 end order by at, id)), lambda s, d: least(greatest(s + d, 0.05), 10.0)), 6) as strength
+  from f where r = 1 group by 1"""
+
+
+@query(_FOLD)
 def m13_strength_folded(spark, sf):
     """Strength after all marks in order, clamped at every step."""
     return L.fold_strength(recall_event(spark, sf))

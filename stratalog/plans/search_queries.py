@@ -204,7 +204,12 @@ def g3_impact(spark, sf):
     return G.reach(e, G.hubs(e, 3).select(F.col("dst").alias("id")), 3, backwards=True)
 
 
-@query()
+@query(f"""with recursive {EDGE_SQL}, c as (select distinct src, dst from ed where rel = 'calls'), hub as (select dst as id from c group by 1 order by count(*) desc, 1 limit 1),
+  back as (select id, 0 as d from hub union select c.src, b.d + 1 from back b join c on c.dst = b.id where b.d < 2),
+  far as (select id from (select id, min(d) as d from back group by 1) where d > 0 order by d desc, id limit 1),
+  walk as (select id, 0 as d from far union select c.dst, w.d + 1 from walk w join c on c.src = w.id where w.d < 12), near as (select id, min(d) as d from walk group by 1),
+  path as (select id, d from near where id = (select id from hub) union all select (select min(c.src) from c join near n on n.id = c.src where c.dst = p.id and n.d = p.d - 1), p.d - 1 from path p where p.d > 0)
+  select d::int as step, id from path""")
 def g4_shortest_path(spark, sf):
     """From the smallest caller two calls away to the most called symbol."""
     hub = G.hubs(calls(spark, sf), 1).first()["dst"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import text as X
 from stratalog.plans.bindings import DAY, EVENT_SQL
 from stratalog.plans.registry import query
-from stratalog.plans.report_queries import _LINES, lines_of
+from stratalog.plans.report_queries import _FOLD, _LINES, lines_of
 from stratalog.sources import chunker
 from stratalog.streaming import events as E
 from stratalog.tables import load
@@ -97,6 +97,6 @@ def e4_stream_daily_cap(spark, sf):
     return s.select("node_id", "event", F.floor(F.unix_timestamp("ts") / DAY).alias("day"))
 
 
-@query()
+@query(_FOLD + " union all select node_id, 1.0 from ev group by 1 having bool_and(event = 'shown')")
 def m13_stream_strength(spark, sf):
     return E.drain(E.strength(E.read_events(spark, f"{sf}/events.parquet")), "strength", "update")

@@ -374,3 +374,50 @@ def test_identifier_phrases_in_a_row(spark):
     n = spark.createDataFrame([(1, "Vec::new", None), (2, "new vec", "x"), (3, None, "a x.wait_branch. b Vec new"), (4, "vec", "new")], "id long, title string, body string")
     got = {r["id"]: r["score"] for r in search.identifier_leg(n, "Vec::new wait_branch").collect()}
     assert got == {1: 1.0, 3: 2.0} and search.identifier_leg(n, "plain words").count() == 0
+
+
+def test_densest_window(spark):
+    from stratalog.functions import text as X
+
+    t = "index of things " + "x " * 40 + "the retention policy of the shared index was moved " + "y " * 200
+    at = X.densest(t, ["reten", "share", "index"], 60, 20)
+    assert t[at : at + 60].count("retention") == 1 and "shared index" in t[at : at + 60]
+    assert X.densest("index", ["index", "other"], 60, 20) == 0 and X.densest("none", ["index"], 60, 20) == 0
+    assert X.densest("a" * 50 + "index" + "a" * 50 + "index", ["index"], 20, 5) == 45
+    got = [r[0] for r in spark.createDataFrame([(t,), (None,), ("index",)], "b string").select(X.snippet("b", ["retention", "shared", "index"], 60, 20)).collect()]
+    assert got[0].startswith("…") and got[0].endswith("…") and "shared index" in got[0] and got[1:] == ["", "index"]
+
+
+def test_communities_against_sweeps(spark):
+    rng = random.Random(4)
+    e = {(rng.randint(1, 12) + 20 * k, rng.randint(1, 12) + 20 * k) for k in range(4) for _ in range(25)} | {(5, 30), (31, 47)}
+    near = {}
+    for a, b in e:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    label = {v: v for v in near}
+    for _ in range(10):
+        new = {}
+        for v, others in near.items():
+            votes = [label[o] for o in others] + [label[v]]
+            new[v] = min(set(votes), key=lambda x: (-votes.count(x), x))
+        if new == label:
+            break
+        label = new
+    size = {x: list(label.values()).count(x) for x in set(label.values())}
+    got = {r["id"]: (r["label"], r["size"]) for r in graph.communities(spark.createDataFrame(sorted(e), "src long, dst long")).collect()}
+    assert got == {v: (x, size[x]) for v, x in label.items() if size[x] >= 3}
+
+
+def test_budget_is_filled_greedily(spark):
+    rows = spark.createDataFrame([(1, 9.0, 1, 60), (2, 8.0, 1, 50), (3, 8.0, 2, 70), (4, 1.0, 1, 20), (5, 1.0, 1, 20), (6, 0.5, 1, 1)], "id long, score double, updated_at long, tokens long")
+    assert search.fill_budget(rows, 100) == [1, 4, 5] and search.fill_budget(rows, 200, 2) == [1, 3] and search.fill_budget(rows, 0) == []
+
+
+def test_co_activation_decays_and_grows(spark):
+    day = 86_400
+    rows = [(k, n, "opened", d * day + 10 * n) for k, (n, d) in enumerate([(1, 0), (2, 0), (1, 30), (2, 30), (1, 31), (3, 31)])]
+    got = {(r["src"], r["dst"]): r["weight"] for r in ledger.co_activation(spark.createDataFrame(rows, "id long, node_id long, event string, at long")).collect()}
+    w = 0.15 / 2
+    assert got.keys() == {(1, 2), (1, 3)} and abs(got[1, 2] - (w + 0.15 * (1 - w))) < 1e-6 and got[1, 3] == 0.15
