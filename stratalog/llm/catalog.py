@@ -20,6 +20,7 @@ def queries() -> dict:
         "p3_similar": neighbours.p3_similar,
         "p4_found": docpairs.p4_found,
         "p4_pairs": docpairs.p4_pairs,
+        "p4_refused": docpairs.p4_refused,
         "p7_found": alike.p7_found,
         "p7_groups": alike.p7_groups,
         "p8_ids": tokenize.p8_ids,

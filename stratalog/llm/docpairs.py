@@ -4,21 +4,22 @@ Each source file is parsed into a syntax tree; its function nodes give the
 qualified name, the signature, the exact lines and the attached documentation.
 Pairs whose documentation is empty or trivial are dropped.
 
-Defined cases: null or empty content and unknown languages give no rows; a file
-that its parser refuses gives no rows and is listed by ``refused_files``; copied
-files give rows under each id; exact repeats count once; two functions of one
+Defined cases: null or empty content and unknown languages give no rows; of a
+Python file that does not parse the functions that parse by themselves come out;
+a file that is not read whole is listed by ``refused_files``; copied files give rows under each id; exact repeats count once; two functions of one
 name in a file both come out of ``doc_pairs``.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.syntax import Def, definitions
+from stratalog.llm.syntax import Def, read
 from stratalog.tables import load
 
 # Words that stand for missing documentation, and those a request to write it is made of; fixed values.
@@ -92,10 +93,6 @@ def trivial(doc: str | None, name: str, params: list[str] = ()) -> bool:
     return all(w in params for w in words)
 
 
-def _line(src: str, at: int) -> int:
-    return len(re.findall(r"\r\n|\r|\n", src[:at])) + 1
-
-
 def _signature(src: str, d: Def) -> str:
     s = re.sub(r"\s+", " ", src[d.head[0] : d.head[1]]).strip()
     return s.rstrip("{").rstrip() if not s.startswith(("def ", "async def ")) else re.split(r"\s*:\s*(?:[#\"'rRbBuU]|$)", s)[0]
@@ -115,14 +112,17 @@ def _rows(frames):
             if not src or not isinstance(lang, str):
                 continue
             try:
-                defs = definitions(src, lang)
+                defs, whole = read(src, lang)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
+                defs, whole = [], False
+            if not whole:
                 out.append((fid, path, lang, None, None, None, None, None, None, None, False))
-                continue
+            ends = [m.end() for m in re.finditer(r"\r\n|\r|\n", src)] if defs else []
+            line = lambda at: bisect.bisect_right(ends, at) + 1
             for d in defs:
                 if not trivial(d.doc, d.name, d.params):
                     doc = "\n".join(x.strip() for x in re.split(r"\r\n|\r|\n", d.doc)).strip()
-                    out.append((fid, path, lang, qualified(d, lang), d.name, _signature(src, d), doc, _line(src, d.start), _line(src, d.end), src[d.start : d.end], True))
+                    out.append((fid, path, lang, qualified(d, lang), d.name, _signature(src, d), doc, line(d.start), line(d.end), src[d.start : d.end], True))
         yield pd.DataFrame(out, columns=["file_id", "path", "lang", "qualified", "name", "signature", "doc", "start_line", "end_line", "code", "ok"])
 
 
@@ -145,3 +145,10 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
 
 def p4_pairs(spark, sf_dir: str) -> DataFrame:
     return doc_pairs(load(spark, sf_dir, "source_file")).distinct()
+
+
+def p4_refused(spark, sf_dir: str) -> DataFrame:
+    """Files by language, and how many of them were not read whole."""
+    files = load(spark, sf_dir, "source_file").filter("content is not null").select("file_id", "path", "lang", "content").distinct()
+    bad = refused_files(files).select("file_id", F.lit(1).alias("bad")).distinct()
+    return files.join(bad, "file_id", "left").groupBy(F.lower("lang").alias("lang")).agg(F.countDistinct("file_id").alias("files"), F.count("bad").alias("refused"))

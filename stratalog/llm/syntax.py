@@ -560,52 +560,99 @@ class _Go(_Reader):
         return len(self.toks), False
 
 
-def _python(src: str) -> list[Def]:
-    text = src.lstrip("﻿")
+#: Where statements hold other statements.
+_BODIES = ("body", "orelse", "finalbody", "handlers", "cases")
+
+
+def _tree(text: str):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = ast.parse(text)
-    lines = [0]
-    for x in re.finditer(r"\r\n|\r|\n|\f", text):
-        if x.group() != "\f":
-            lines.append(x.end())
+        return ast.parse(text)
+
+
+def _python(src: str) -> tuple[list[Def], bool]:
+    text = src.lstrip("\ufeff")
     shift = len(src) - len(text)
+    try:
+        return _python_defs(text, _tree(text), shift, ()), True
+    except (SyntaxError, ValueError, RecursionError):
+        # what can be read of a broken file
+        return _python_pieces(text, shift, 0, ()), False
+
+
+_head = re.compile(r"(?m)^([ \t]*)(?:@|def\b|async[ \t]+def\b|class[ \t]+(\w+))")
+
+
+def _python_pieces(text: str, shift: int, indent: int, types: tuple[str, ...]) -> list[Def]:
+    """The functions of the pieces at one indentation, each parsed by itself; a class that is refused is taken apart, too."""
+    heads = [m for m in _head.finditer(text) if len(m.group(1)) == indent]
+    starts, marks = [], []
+    for k, m in enumerate(heads):
+        # decorators belong to what follows
+        if not (k and text[heads[k - 1].start() : heads[k - 1].end()].strip() == "@" and heads[k - 1].end() <= m.start() and not text[text.find("\n", heads[k - 1].end()) + 1 : m.start()].strip()):
+            starts.append(m.start())
+            marks.append(m)
+        else:
+            marks[-1] = m
+    out = []
+    for a, b, m in zip(starts, [*starts[1:], len(text)], marks):
+        piece = text[a:b]
+        front = "if 1:\n" if indent else ""
+        try:
+            out += _python_defs(front + piece, _tree(front + piece), shift + a - len(front), types)
+        except (SyntaxError, ValueError, RecursionError):
+            inner = [len(x.group(1)) for x in _head.finditer(piece, m.end() - a) if len(x.group(1)) > indent] if m.group(2) else []
+            if inner:
+                out += _python_pieces(piece[m.end() - a :], shift + m.end(), min(inner), (*types, m.group(2)))
+    return out
+
+
+def _python_defs(text: str, tree, shift: int, types: tuple[str, ...]) -> list[Def]:
+    lines = [0]
+    for x in re.finditer(r"\r\n|\r|\n", text):
+        lines.append(x.end())
 
     def offset(line: int, col: int) -> int:
         a = lines[line - 1]
         b = lines[line] if line < len(lines) else len(text)
-        return shift + a + len(text[a:b].encode("utf-8", "surrogatepass")[:col].decode("utf-8", "ignore"))
+        part = text[a:b]
+        return shift + a + (col if part.isascii() else len(part.encode("utf-8", "surrogatepass")[:col].decode("utf-8", "ignore")))
 
     found: list[Def] = []
 
     def visit(node, types):
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                a = offset(child.lineno, child.col_offset)
-                e = offset(child.end_lineno, child.end_col_offset)
-                body = child.body[0]
-                head = offset(body.lineno, body.col_offset)
-                g = child.args
-                d = Def(child.name, types, a, e, (a, head), ast.get_docstring(child, clean=False))
-                d.params = [x.arg for x in (*g.posonlyargs, *g.args, *g.kwonlyargs, g.vararg, g.kwarg) if x is not None]
-                found.append(d)
-                visit(child, types)
-            elif isinstance(child, ast.ClassDef):
-                visit(child, (*types, child.name))
-            else:
-                visit(child, types)
-
-    visit(tree, ())
+        for name in _BODIES:
+            for child in getattr(node, name, ()):
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    a = offset(child.lineno, child.col_offset)
+                    e = offset(child.end_lineno, child.end_col_offset)
+                    body = child.body[0]
+                    head = offset(body.lineno, body.col_offset)
+                    g = child.args
+                    d = Def(child.name, types, a, e, (a, head), ast.get_docstring(child, clean=False))
+                    d.params = [x.arg for x in (*g.posonlyargs, *g.args, *g.kwonlyargs, g.vararg, g.kwarg) if x is not None]
+                    found.append(d)
+                    visit(child, types)
+                elif isinstance(child, ast.ClassDef):
+                    visit(child, (*types, child.name))
+                else:
+                    visit(child, types)
+
+    visit(tree, types)
     return found
 
 
-def definitions(src: str, lang: str) -> list[Def]:
-    """All functions and methods of a file; an unknown language has none."""
+def read(src: str, lang: str) -> tuple[list[Def], bool]:
+    """All functions and methods of a file, and whether it was read whole; an unknown language has none."""
     if lang == "python":
         return _python(src)
     reader = {"rust": _Rust, "typescript": _TypeScript, "go": _Go}.get(lang)
     if reader is None:
-        return []
+        return [], True
     r = reader(src, lang)
     r.items(0, len(r.toks), ())
-    return sorted(r.found, key=lambda d: d.start)
+    return sorted(r.found, key=lambda d: d.start), True
+
+
+def definitions(src: str, lang: str) -> list[Def]:
+    return read(src, lang)[0]
