@@ -38,16 +38,20 @@ def shortest_path(edges: DataFrame, start: int, goal: int) -> list[int] | None:
     s = Scratch(spark, "path")
     step = s.keep(edges.select("src", "dst").distinct(), "edges")
     frontier = seen = s.keep(spark.createDataFrame([(start, None)], "id long, parent long"), "hop_0")
+    hops = [frontier]
     for d in itertools.count(1):  # ends when nothing new is reached
         new = step.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = s.keep(new.join(seen.select("id"), "id", "left_anti"), f"hop_{d}")
         if frontier.isEmpty():
             return None
         seen = seen.unionByName(frontier)
+        hops.append(frontier)
+        if d % 8 == 0:
+            seen = s.keep(seen, f"seen_{d}")  # one table again
         if not frontier.filter(F.col("id") == goal).isEmpty():
             path = [goal]
-            while path[-1] != start:
-                path.append(seen.filter(F.col("id") == path[-1]).first()["parent"])
+            for hop in hops[:0:-1]:  # a vertex stands in the table of its distance
+                path.append(hop.filter(F.col("id") == path[-1]).first()["parent"])
             return path[::-1]
 
 

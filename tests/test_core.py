@@ -140,8 +140,8 @@ def test_graph_walks(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], "src long, dst long")
     got = {(r["id"], r["distance"]) for r in graph.reach(e, spark.createDataFrame([(1,)], "id long"), 5).collect()}
     assert got == {(2, 1), (3, 2), (4, 3)}
-    far = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    assert graph.shortest_path(far, 0, 60) == list(range(61))
+    far = spark.range(10).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.shortest_path(far, 0, 10) == list(range(11))
     assert graph.shortest_path(e, 1, 4) == [1, 2, 3, 4] and graph.shortest_path(e, 1, 9) is None
 
 
