@@ -71,23 +71,130 @@ def pair_days(events: DataFrame, span: int = 1800) -> DataFrame:
     return p.groupBy("src", "dst", F.floor(F.col("at") / DAY).alias("day")).agg(F.min("at").alias("at"))
 
 
-def co_activation(events: DataFrame, half: float = 30.0, rate: float = 0.15, cap: int = 32) -> DataFrame:
-    """Edges of nodes opened together: the weight decays between fires, then grows towards 1; a node keeps its strongest."""
-    fires = pair_days(events).groupBy("src", "dst").agg(F.sort_array(F.collect_list("at")).alias("t"))
-    start = F.struct(F.lit(0.0).alias("w"), F.col("t")[0].alias("at"))
-
-    def fire(s, at):
-        w = s["w"] * F.pow(F.lit(2.0), -(at - s["at"]) / (half * DAY))
-        return F.struct((w + rate * (1 - w)).alias("w"), at.alias("at"))
-
-    e = fires.select("src", "dst", F.aggregate("t", start, fire).alias("s")).select("src", "dst", F.round("s.w", 6).alias("weight"), F.col("s.at").alias("last_fired_at"))
-    ends = e.select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst", "weight")
-    other = F.when(F.col("node") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
-    w = Window.partitionBy("node").orderBy(F.desc("weight"), other.desc())
-    kept = ends.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cap)
+def co_activation(events: DataFrame, half: float = 30.0, rate: float = 0.15, cap: int = 32, span: int = 1800, blocks: int = 24) -> DataFrame:
+    """Edges of nodes opened together: the weight decays between fires, then grows towards 1; a node keeps its strongest.
+
+    Pairs are many more than opens, so they are never rows: a block of nodes gets the opens of all nodes around its own,
+    packed by slots of ``span``, folds the fires of one node after the other and hands on what the node keeps.
+    """
+    opened = events.filter("event = 'opened' and node_id is not null and at is not null")
+    opened = opened.select(F.col("node_id").cast("long").alias("node"), F.col("at").cast("long").alias("at"), F.floor(F.col("at") / span).alias("slot"))
+    packed = opened.groupBy("slot").agg(F.collect_list((F.col("at") - F.col("slot") * span).cast("int")).alias("after"), F.collect_list("node").alias("node"))
+    block = F.pmod(F.pmod("node", F.lit(_PRIME)), F.lit(blocks)).cast("int")
+    own = opened.select(block.alias("block"), "slot").distinct()
+    own = own.select("block", F.explode(F.array(F.col("slot") - 1, "slot", F.col("slot") + 1)).alias("slot")).distinct()
+    # a partition is a block, whatever the planner would join together
+    by_block = own.join(packed, "slot").repartitionById(blocks, F.col("block"))
+    kept = by_block.mapInArrow(_strongest(half, rate, cap, span, blocks), "src bigint, dst bigint, weight double, last_fired_at bigint")
     # an edge stays while both its nodes keep it
-    both = kept.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n = 2").select("src", "dst")
-    return e.join(both, ["src", "dst"], "left_semi")
+    both = kept.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("weight").alias("weight"), F.min("last_fired_at").alias("last_fired_at"))
+    return both.filter("n = 2").drop("n")
+
+
+#: Spreads nodes over blocks also where their ids have a stride.
+_PRIME = 1_000_003
+#: A node's place beside the weight in one number.
+_LOW = 0xFFFFFFFF
+
+
+def _strongest(half: float, rate: float, cap: int, span: int, blocks: int):
+    """For the packed opens of a block: the ``cap`` strongest edges of each of its nodes, of equal ones those to the largest ids."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        slots = [(b["block"], b["slot"], b["after"], b["node"]) for b in batches if b.num_rows]
+        if not slots:
+            return
+        at = np.concatenate([np.repeat(s.to_numpy() * span, a.value_lengths().to_numpy()) + a.flatten().to_numpy() for _, s, a, _ in slots])
+        node = np.concatenate([n.flatten().to_numpy() for *_, n in slots])
+        block = slots[0][0][0].as_py()
+        del slots
+        order = np.argsort(at, kind="stable")
+        at, (ids, who) = at[order], np.unique(node[order], return_inverse=True)
+        # the opens of the block's nodes, one node after the other and in time
+        mine = np.flatnonzero((ids % _PRIME % blocks == block)[who])
+        mine = mine[np.argsort(who[mine], kind="stable")]
+        t, d, me = at[mine], at[mine] // DAY, who[mine]
+        follows = np.r_[False, me[1:] == me[:-1]]
+        upto = np.searchsorted(at, t, "right")
+        # what the open before has seen has fired on its day, and what is after the next open is left to that
+        seen = follows & np.r_[False, (t[1:] - t[:-1] <= span) & (d[1:] == d[:-1])]
+        first = np.where(seen, upto, np.searchsorted(at, t - span, "left"))
+        last = np.searchsorted(at, t + span, "right")
+        last = np.where(np.r_[follows[1:], False], np.minimum(last, np.r_[upto[1:], 0]), last)
+
+        # a fire is one number: the other node's place, then the time of the later open
+        zero, bits = int(at[0]), int(at[-1] - at[0]).bit_length()
+        if bits + len(ids).bit_length() > 63:
+            raise ValueError(f"{len(ids)} nodes and times from {at[0]} to {at[-1]} do not fit a number")
+        place = who << bits
+        theirs, t = place | (at - zero), (t - zero).tolist()
+        starts = np.flatnonzero(~follows)
+        sizes = np.add.reduceat(last - first, starts).tolist()
+        first, upto, last, me = first.tolist(), upto.tolist(), last.tolist(), me.tolist()
+        starts = [*starts.tolist(), len(me)]
+        # room that is used again for each node
+        row, room = np.arange(max(sizes)), [np.empty(max(sizes), kind) for kind in (np.int64, np.int64, np.int64, bool)]
+        mark, again = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        once = int(np.floor(rate * 1e6 + 0.5))
+        keys, times, kept = [], [], []
+
+        def edges():
+            k, n = np.concatenate(keys), np.repeat(kept, [len(x) for x in keys])
+            ends = [ids[f(n, k & _LOW)] for f in (np.minimum, np.maximum)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends, (k >> 32) / 1e6, np.concatenate(times))], ["src", "dst", "weight", "last_fired_at"])
+
+        for lo, hi, m in zip(starts, starts[1:], sizes):
+            fires, met, found, twice = (x[:m] for x in room)
+            np.concatenate([x for i in range(lo, hi) for x in (place[first[i] : upto[i]] | t[i], theirs[upto[i] : last[i]])], out=fires)
+            np.concatenate([who[first[i] : last[i]] for i in range(lo, hi)], out=met)
+            # most nodes are met once, and only the others are worth sorting
+            mark[met] = row[:m]
+            np.not_equal(mark.take(met, out=found, mode="clip"), row[:m], out=twice)
+            repeated = met.compress(twice)
+            again[repeated] = True
+            more = again.take(met, out=twice, mode="clip")
+            again[repeated] = False
+            several = fires.compress(more)
+            several.sort()
+            other, now = several >> bits, (several & ((1 << bits) - 1)) + zero
+            day = now // DAY
+            # the first of a pair and day
+            ahead = other[1:] == other[:-1]
+            one = np.flatnonzero(np.r_[True, ~ahead | (day[1:] != day[:-1])][: len(other)])
+            other, now = other[one], now[one]
+            begin = np.flatnonzero(np.r_[True, other[1:] != other[:-1]][: len(other)])
+            n = np.diff(begin, append=len(other))
+            w, k, live = np.full(len(begin), rate), 1, np.flatnonzero(n > 1)
+            while len(live):
+                at_k = begin[live] + k
+                x = w[live] * np.exp2((now[at_k - 1] - now[at_k]) / (half * DAY))
+                w[live] = x + rate * (1 - x)
+                k += 1
+                live = live[n[live] > k]
+            key, when = np.floor(w * 1e6 + 0.5).astype(np.int64) << 32 | other[begin], now[begin + n - 1]
+            if np.count_nonzero(key >> 32 > once) <= cap:  # one may be the node itself
+                # those met once are all as strong: the last in order are enough
+                rest = fires[~more]
+                if len(rest) > cap + 1:
+                    rest = np.partition(rest, len(rest) - cap - 1)[len(rest) - cap - 1 :]
+                key, when = np.r_[key, once << 32 | rest >> bits], np.r_[when, (rest & ((1 << bits) - 1)) + zero]
+            stays = np.flatnonzero(key & _LOW != me[lo])
+            if len(stays) > cap:
+                stays = stays[np.argpartition(key[stays], len(stays) - cap)[len(stays) - cap :]]
+            key, when = key[stays], when[stays]
+            keys.append(key)
+            times.append(when)
+            kept.append(me[lo])
+            if len(kept) == 4096:
+                yield edges()
+                keys, times, kept = [], [], []
+        if kept:
+            yield edges()
+
+    return run
 
 
 def deduplicate_stream(events: DataFrame, late: str = "30 minutes") -> DataFrame:

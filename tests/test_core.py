@@ -421,3 +421,46 @@ def test_co_activation_decays_and_grows(spark):
     got = {(r["src"], r["dst"]): r["weight"] for r in ledger.co_activation(spark.createDataFrame(rows, "id long, node_id long, event string, at long")).collect()}
     w = 0.15 / 2
     assert got.keys() == {(1, 2), (1, 3)} and abs(got[1, 2] - (w + 0.15 * (1 - w))) < 1e-6 and got[1, 3] == 0.15
+
+
+def test_co_activation_never_shuffles_pairs(spark):
+    nodes, day = 600, 86_400
+    rows = [(k, k % nodes, "opened", k // nodes * day + 2 * (k % nodes)) for k in range(2 * nodes)]
+    ev = spark.createDataFrame(rows, "id long, node_id long, event string, at long")
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    got = {(r["src"], r["dst"]): r["weight"] for r in ledger.co_activation(ev).collect()}
+    w = 0.15 * 2 ** (-1 / 30)
+    # all pairs are as strong, so each node keeps the 32 largest others, and the 33 largest keep each other
+    assert got.keys() == {(a, b) for b in range(nodes - 33, nodes) for a in range(nodes - 33, b)} and set(got.values()) == {round(w + 0.15 * (1 - w), 6)}
+    assert written() - before < nodes * (nodes - 1) / 2
+
+
+@pytest.mark.parametrize("cap", [3, 32])
+def test_co_activation_by_hand(spark, cap):
+    day, r = 86_400, random.Random(7)
+    opens = [(r.randrange(12) * 10**9 - 10**9, r.choice([-1, 0, 1, 40]) * day + r.randrange(-4000, 4000)) for _ in range(150)]
+    ev = spark.createDataFrame([(k, n, "opened", t) for k, (n, t) in enumerate(opens)] + [(999, None, "opened", 0), (1000, 10**9, "shown", 0)], "id long, node_id long, event string, at long")
+    fires = {}
+    for n, t in opens:
+        for m, s in opens:
+            if n < m and abs(t - s) <= 1800:
+                at = fires.setdefault((n, m), {})
+                at[max(t, s) // day] = min(max(t, s), at.get(max(t, s) // day, max(t, s)))
+    edge = {}
+    for pair, at in fires.items():
+        w = last = 0
+        for t in sorted(at.values()):
+            w *= 2 ** (-(t - last) / (30 * day))
+            w, last = w + 0.15 * (1 - w), t
+        edge[pair] = (round(w, 6), last)
+    best = {n: sorted(((w, a + b - n) for (a, b), (w, _) in edge.items() if n in (a, b)), reverse=True)[:cap] for n, _ in opens}
+    want = {(a, b): v for (a, b), v in edge.items() if (v[0], b) in best[a] and (v[0], a) in best[b]}
+    got = {(x["src"], x["dst"]): (x["weight"], x["last_fired_at"]) for x in ledger.co_activation(ev, cap=cap, blocks=3).collect()}
+    assert got == want and len(want) >= 10
